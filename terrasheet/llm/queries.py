@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, dedup, langid, mixing, quality, resampling, sharding, urlfilter, warc
+from . import decontam, dedup, langid, lm, mixing, quality, resampling, sharding, urlfilter, warc
 from .common import new_dir, table
 
 #: Target weights of query op1, in parts; all other sources together have OTHER_SHARE.
@@ -17,6 +17,10 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"), MIX_SHARES, default_share=OTHER_SHARE, keep=["doc_id", "source"])
 
 
+def op2_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     classes = dedup.near_duplicates(table(spark, sf_dir, "documents"))
     return classes.withColumn("kept", F.col("doc_id") == F.col("class_id"))
@@ -53,6 +57,6 @@ def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op3_near_dedup, op4_importance_resampling, op5_warc, op6_url_filter, op7_decontamination, op8_language_id, op9_quality_rules, op10_shard)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_class_lm, op3_near_dedup, op4_importance_resampling, op5_warc, op6_url_filter, op7_decontamination, op8_language_id, op9_quality_rules, op10_shard)}
 
 ORACLES: dict[str, str] = {}

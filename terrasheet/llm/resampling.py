@@ -21,7 +21,7 @@ WORD = re.compile(r"[^\W_]+|[^\w\s]")
 #: Hashed n-grams (words and word pairs) fall into so many buckets.
 BUCKETS = 1 << 18
 #: Added to each bucket's count in both models, at the target's size: a bucket that either model has hardly seen says nothing.
-SMOOTHING = 5.0
+SMOOTHING = 20.0
 #: The target model is fitted on at most so many labelled documents, those with the least hashes; the raw model on all documents.
 FIT_DOCUMENTS = 100_000
 #: Scores are compared in steps of 2^-20.
