@@ -1,4 +1,4 @@
 """All queries over the reference's operators."""
 
-from . import aggregates, files, iterations, joins, scalars  # noqa: F401
+from . import aggregates, files, iterations, joins, scalars, streams  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
