@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import decontam, dedup, langid, lm, mixing, quality, resampling, sharding, urlfilter, warc
 from .common import new_dir, table
+from .oracles import ORACLES  # noqa: F401
 
 #: Target weights of query op1, in parts; all other sources together have OTHER_SHARE.
 MIX_SHARES = {"src0": 12, "src1": 8, "src2": 8, "src3": 6, "src4": 6, "src5": 5, "src6": 5, "src7": 4, "src8": 4, "src9": 3, "src10": 3, "src11": 3}
@@ -58,5 +59,3 @@ def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_class_lm, op3_near_dedup, op4_importance_resampling, op5_warc, op6_url_filter, op7_decontamination, op8_language_id, op9_quality_rules, op10_shard)}
-
-ORACLES: dict[str, str] = {}
