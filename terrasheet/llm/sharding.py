@@ -30,11 +30,12 @@ def _counts(df: DataFrame, col: str) -> dict[int, int]:
 def propagate(rows: DataFrame, shards: int, capacity: int, rounds: int) -> DataFrame:
     """Rounds of label propagation over `rows` (_group, _h, shard; singles have a null _group).
 
-    In each round the rows of a group are counted by shard; the group leans
-    towards the shard that holds most of them among those with room. Rows
-    elsewhere ask to move there. A shard grants as many requests as it has room,
-    in hash order, so that no shard passes its capacity. Singles never ask: they
-    leave full shards later, when sizes are made even. Room of a shard is its
+    In each round the rows of a group are counted by shard. A group's homes are the
+    shards that hold most of it among those with room, one for each capacity's
+    worth of rows. Rows elsewhere ask to move to a home with room, or else to the
+    group's fullest shard that has room. A shard grants as many requests as it has
+    room, in hash order, so that no shard passes its capacity. Singles never ask:
+    they leave full shards later, when sizes are made even. Room of a shard is its
     capacity less the linked rows it holds.
     """
     linked = rows.where(F.col("_group").isNotNull())
@@ -42,14 +43,19 @@ def propagate(rows: DataFrame, shards: int, capacity: int, rounds: int) -> DataF
     for _ in range(rounds):
         held = _counts(linked, "shard")
         room = {s: max(0, capacity - held.get(s, 0)) for s in range(shards)}
-        each = linked.groupBy("_group", "shard").agg(F.count(F.lit(1)).alias("_n"))
-        # a full shard keeps what it has, and a group leans there only if it needs no room
-        total = F.sum("_n").over(Window.partitionBy("_group"))
-        fits = F.least(_by_shard(room, F.col("shard")) + F.col("_n"), total)
-        lean = F.max_by("shard", F.struct(fits.alias("f"), F.col("_n"), F.xxhash64("_group", "shard").alias("t")))
-        target = each.withColumn("_fits", fits).groupBy("_group").agg(F.max_by("shard", F.struct("_fits", "_n", F.xxhash64("_group", "shard").alias("t"))).alias("_to"))
-        del lean
-        asked = linked.join(target, "_group")
+        each = linked.groupBy("_group", "shard").agg(F.count(F.lit(1)).alias("n")).withColumn("room", _by_shard(room, F.col("shard")))
+        # at most one entry for each shard
+        rank = F.struct((-F.col("room") - F.col("n")).alias("fits"), (-F.col("n")).alias("n"), F.xxhash64("_group", "shard").alias("tie"), "shard", "room")
+        full = F.struct(F.greatest(F.col("rank.fits"), -F.col("total")).alias("fits"), F.col("rank.n").alias("n"), F.col("rank.tie").alias("tie"), F.col("rank.shard").alias("shard"), F.col("rank.room").alias("room"))
+        totals = each.groupBy("_group").agg(F.sum("n").alias("total"), F.collect_list(rank).alias("ranks"))
+        lean = totals.select("_group", "total", F.explode("ranks").alias("rank")).groupBy("_group", "total").agg(F.array_sort(F.collect_list(full)).alias("c"))
+        homes = F.slice("c", 1, F.ceil(F.col("total") / capacity).cast("int"))
+        free = F.filter(homes, lambda x: x["room"] > 0)
+        other = F.slice(F.filter("c", lambda x: x["room"] > 0), 1, 1)
+        lean = lean.select("_group", F.transform(homes, lambda x: x["shard"]).alias("_homes"), F.transform(F.when(F.size(free) > 0, free).otherwise(other), lambda x: x["shard"]).alias("_open"))
+        asked = linked.join(lean, "_group")
+        away = ~F.array_contains("_homes", F.col("shard")) & (F.size("_open") > 0)
+        asked = asked.withColumn("_to", F.when(away, F.get("_open", F.pmod(F.col("_h"), F.greatest(F.size("_open"), F.lit(1))).cast("int"))).otherwise(F.col("shard"))).drop("_homes", "_open")
         moving = number_rows(asked.where("shard <> _to"), ["_to"], "_h", ["_id"], "_rank", BUCKETS)
         moved = moving.withColumn("shard", F.when(F.col("_rank") < _by_shard(room, F.col("_to")), F.col("_to")).otherwise(F.col("shard"))).drop("_rank")
         linked = cut(asked.where("shard = _to").unionByName(moved).drop("_to"))
@@ -82,7 +88,7 @@ def balance_rows(rows: DataFrame, shards: int, n: int) -> DataFrame:
     return stay.unionByName(filled).drop("_order")
 
 
-def shard_documents(docs: DataFrame, shards: int = 24, rounds: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = 24, rounds: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard) for every row, law `rows`.
 
     Shards differ by one row at most. Documents with equal texts are linked and
