@@ -126,7 +126,7 @@ def test_components_and_clusters(spark):
     got = {r.node: r.root for r in iterative.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     seen = {x for e in edges if e[0] != e[1] for x in e}
     assert got == {x: root(x) for x in seen}
-    line = spark.createDataFrame([(i, "g", x, 0.0) for i, x in enumerate((0, 0.05, 1, 5, 5.05, 5.1))], "id long, grp string, x double, y double")
+    line = spark.createDataFrame([(i, "g", float(x), 0.0) for i, x in enumerate((0, 0.05, 1, 5, 5.05, 5.1))], "id long, grp string, x double, y double")
     assert {r.id: r.cluster for r in iterative.cluster(line, 0.1).collect()} == {0: 0, 1: 0, 2: None, 3: 3, 4: 3, 5: 3}
 
 
