@@ -8,7 +8,7 @@ can start and that it ends within the text; the words there are then compared.
 
 from __future__ import annotations
 
-import re
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -16,16 +16,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-FIND = re.compile(WORDS)
-LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+#: By byte: letters A to Z to lower case; ASCII characters that belong to no word to blanks.
+BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 WINDOW, SHINGLE = 13, 3
 #: Benchmark windows that go to the tasks at once: about 60 MB there. More of them are joined in further blocks.
 BLOCK_WINDOWS = 50_000
 MULTIPLIER = 1_000_003
 
 
-def find_words(text: str | None) -> list[str]:
-    return FIND.findall(text.translate(LOWER)) if text else []
+def find_words(text: str | None) -> list[bytes]:
+    """The words of WORDS in lower case, as UTF-8: all bytes of other characters than ASCII belong to words."""
+    return text.encode("utf-8", "surrogatepass").translate(BYTES).split() if text else []
 
 
 def benchmark_windows(benchmark: DataFrame, window: int, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -40,10 +41,10 @@ class Block:
     """The windows of one block as arrays: word ids, and the shingles to be looked for."""
 
     def __init__(self, rows: list[tuple[str, list[str]]], shingle: int):
-        self.vocabulary: dict[str, int] = {}
+        self.vocabulary: dict[bytes, int] = {}
         by_window: dict[tuple[int, ...], list[str]] = {}
         for item, words in rows:
-            key = tuple(self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words)
+            key = tuple(self.vocabulary.setdefault(w.encode("utf-8", "surrogatepass"), len(self.vocabulary)) for w in words)
             by_window.setdefault(key, []).append(item)
         self.windows = [np.array(k, np.int64) for k in by_window]
         self.items = list(by_window.values())
@@ -65,16 +66,18 @@ class Block:
             key = np.array([r[0] for r in rows], np.int64)
             self.index[k] = (key, np.array([r[1] for r in rows]), np.array([r[2] for r in rows]))
 
-    def ids(self, words: list[str]) -> np.ndarray:
-        get = self.vocabulary.get
-        return np.fromiter((get(w, -1) for w in words), np.int64, len(words))
+    def ids(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.vocabulary.get, words, repeat(-1)), np.int64, len(words))
 
     def places(self, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Where `k` words of the vocabulary stand in a row, and the keys of these shingles."""
         if len(ids) < k:
             return np.empty(0, np.int64), np.empty(0, np.int64)
-        known = np.lib.stride_tricks.sliding_window_view(ids >= 0, k).all(axis=1)
-        at = np.flatnonzero(known)
+        known, n = ids >= 0, len(ids) - k + 1
+        every = known[:n]
+        for j in range(1, k):
+            every = every & known[j : n + j]
+        at = np.flatnonzero(every)
         key = np.zeros(len(at), np.int64)
         for j in range(k):
             key = key * MULTIPLIER + ids[at + j] + 1
