@@ -25,14 +25,20 @@ SMOOTHING = 0.05
 #: More languages than this would make the model too large to send to every task: MAX_LANGUAGES * 32,000 * 8 bytes.
 MAX_LANGUAGES = 256
 #: Words whose likelihoods a Python worker holds; the table is emptied when full.
-CACHED_WORDS = 200_000
+CACHED_WORDS = 400_000
 #: Texts whose words are looked up together.
 ROWS_TOGETHER = 1000
 #: Words up to this length are summed side by side without rescaling.
 TOGETHER = 40
-WORD = re.compile(r"\S+")
 LETTER = re.compile(r"[^\W\d_]")
 MARK = "▁"
+BASE, MIX = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
+POWERS = np.array([pow(int(BASE), n, 1 << 64) for n in range(256)], np.uint64)
+
+
+def split_words(text: str) -> list[str]:
+    """Words between white space, in lower case: a language has the same pieces in headlines."""
+    return text.lower().split()
 
 
 @lru_cache(maxsize=2)
@@ -43,20 +49,20 @@ def pieces(path: str):
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     table = {sp.id_to_piece(i): i for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))}
     bytes_ = {int(sp.id_to_piece(i)[3:5], 16): i for i in range(sp.get_piece_size()) if sp.is_byte(i)}
-    return sp, table, bytes_, max(map(len, table))
+    return sp, table, bytes_, max(map(len, table)), Lookup(table)
 
 
 def piece_counts(docs: DataFrame, path: str) -> DataFrame:
     """(lang, piece, n): how often the vocabulary's own segmentation of the words uses each piece. Partial sums leave each task, of at most one row for a language and piece."""
 
     def count(frames):
-        sp, _, _, _ = pieces(path)
+        sp = pieces(path)[0]
         total: dict[str, np.ndarray] = {}
         for pdf in frames:
             for lang, texts in pdf.groupby("lang")["text"]:
                 words = Counter()
                 for t in texts:
-                    words.update(WORD.findall(t))
+                    words.update(split_words(t))
                 keys = [w for w in words if len(w) <= 4096]
                 ids = sp.encode(keys, num_threads=1) if keys else []
                 long = [w for w in words if len(w) > 4096]
@@ -123,14 +129,49 @@ def word_likelihood(word: str, prob: np.ndarray, table: dict[str, int], bytes_:
     return scale + np.log(ring[len(text) % (most + 1)])
 
 
-def likelihoods(words: list[str], prob: np.ndarray, table: dict[str, int], bytes_: dict[int, int], most: int) -> np.ndarray:
+def _prefix_hashes(texts: list[str]) -> np.ndarray:
+    """Running 64-bit hashes (texts, length + 1) of texts of one length."""
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(texts), -1).astype(np.uint64)
+    out = np.zeros((len(texts), codes.shape[1] + 1), np.uint64)
+    for i in range(codes.shape[1]):
+        out[:, i + 1] = out[:, i] * BASE + codes[:, i] + np.uint64(1)
+    return out
+
+
+class Lookup:
+    """Finds pieces by the hashes of stretches of many words at once: a bitmap passes few others on to a search."""
+
+    def __init__(self, table: dict[str, int]):
+        by_length: dict[int, list[str]] = {}
+        for t in table:
+            by_length.setdefault(len(t), []).append(t)
+        found = [(_prefix_hashes(ts)[:, -1], [table[t] for t in ts]) for ts in by_length.values()]
+        keys, ids = np.concatenate([k for k, _ in found]), np.concatenate([np.array(i) for _, i in found])
+        order = np.argsort(keys)
+        self.keys, self.ids = keys[order], ids[order]
+        self.some = np.zeros(1 << 22, bool)
+        self.some[self._at(keys)] = True
+        self.lengths = set(by_length)
+
+    @staticmethod
+    def _at(h: np.ndarray) -> np.ndarray:
+        return ((h * MIX) >> np.uint64(42)).astype(np.int64)
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the hashes are pieces, and their ids."""
+        maybe = np.flatnonzero(self.some[self._at(h)])
+        at = np.minimum(np.searchsorted(self.keys, h[maybe]), len(self.keys) - 1)
+        ok = self.keys[at] == h[maybe]
+        return maybe[ok], self.ids[at[ok]]
+
+
+def likelihoods(words: list[str], prob: np.ndarray, table: dict[str, int], bytes_: dict[int, int], most: int, lookup: Lookup | None = None) -> np.ndarray:
     """word_likelihood of many words; those of one length are summed together."""
+    lookup = lookup or Lookup(table)
     out = np.empty((len(words), prob.shape[1]))
     by_length: dict[int, list[int]] = {}
     for k, w in enumerate(words):
         by_length.setdefault(len(w), []).append(k)
-    none = len(prob)
-    padded = np.vstack([prob, np.zeros((1, prob.shape[1]))])
     for length, at in by_length.items():
         if length > TOGETHER:
             for k in at:
@@ -139,20 +180,22 @@ def likelihoods(words: list[str], prob: np.ndarray, table: dict[str, int], bytes
         for lo in range(0, len(at), 4096):
             part = at[lo : lo + 4096]
             texts = [MARK + words[k] for k in part]
-            sums = [np.ones((len(part), prob.shape[1]))]
+            h = _prefix_hashes(texts)
+            sums = np.zeros((length + 2, len(part), prob.shape[1]))
+            sums[0] = 1
             for end in range(1, length + 2):
-                total = np.zeros((len(part), prob.shape[1]))
+                total = sums[end]
                 for n in range(1, min(most, end) + 1):
-                    ids = [table.get(t[end - n : end], none) for t in texts]
-                    if n == 1:
-                        for j, i in enumerate(ids):
-                            if i == none:
-                                p = sums[end - 1][j]
-                                for byte in texts[j][end - 1].encode("utf-8", "surrogatepass"):
-                                    p = p * prob[bytes_[byte]]
-                                total[j] += p
-                    total += sums[end - n] * padded[ids]
-                sums.append(total)
+                    if n not in lookup.lengths:
+                        continue
+                    rows, ids = lookup.find(h[:, end] - h[:, end - n] * POWERS[n])
+                    if n == 1 and len(rows) < len(part):
+                        for j in np.setdiff1d(np.arange(len(part)), rows):
+                            p = sums[end - 1][j]
+                            for byte in texts[j][end - 1].encode("utf-8", "surrogatepass"):
+                                p = p * prob[bytes_[byte]]
+                            total[j] += p
+                    total[rows] += sums[end - n][rows] * prob[ids]
             out[part] = np.log(sums[-1])
     return out
 
@@ -171,18 +214,18 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], path: str = VO
 
     def score(batches):
         names, prob = shared.value
-        _, table, bytes_, most = pieces(path)
+        _, table, bytes_, most, lookup = pieces(path)
         seen: dict[str, int] = {}
         held = np.zeros((0, len(names)))
         for whole in batches:
             for lo in range(0, whole.num_rows, ROWS_TOGETHER):
                 batch = whole.slice(lo, ROWS_TOGETHER)
                 texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
-                words = [WORD.findall(t) if names and t is not None and LETTER.search(t) else None for t in texts]
+                words = [split_words(t) if names and t is not None and LETTER.search(t) else None for t in texts]
                 if len(seen) > CACHED_WORDS:
                     seen, held = {}, held[:0]
                 fresh = list({w for ws in words if ws for w in ws if w not in seen})
-                held = np.vstack([held, likelihoods(fresh, prob, table, bytes_, most)]) if fresh else held
+                held = np.vstack([held, likelihoods(fresh, prob, table, bytes_, most, lookup)]) if fresh else held
                 for w in fresh:
                     seen[w] = len(seen)
                 labels, scores = [], []
