@@ -20,15 +20,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import cut
+from .common import cut, store
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 WORDS, SIMILARITY = 5, 0.8
 #: 32 bands of 4: a pair at similarity 0.8 shares none with probability 5e-8.
 BANDS, ROWS = 32, 4
-#: Rounds in which the members of a bucket are compared with one of them, before the rest is compared in pairs.
-PIVOT_ROUNDS = 3
+#: Members of a bucket that all its others are compared with, before the rest is compared in pairs.
+PIVOTS = 3
 #: Texts that are signed side by side.
 TOGETHER = 64
 
@@ -114,9 +115,9 @@ def _points(keys, weights, of, limit, texts: int, m: int):
     return sig.reshape(texts, m), np.isfinite(best).reshape(texts, m).all(axis=1)
 
 
-def bands_of(texts: list[str], cache: dict[str, int]) -> list[list[int] | None]:
-    """The band hashes of each text; None for one without words."""
-    keys, weights, of = [], [], []
+def bands_of(texts: list[str], cache: dict[str, int]) -> tuple[list[list[int] | None], list[int]]:
+    """The band hashes of each text, None for one without words, and its number of shingles."""
+    keys, weights, of, sizes = [], [], [], [0] * len(texts)
     if len(cache) > 300_000:
         cache.clear()
     with np.errstate(over="ignore"):
@@ -127,7 +128,7 @@ def bands_of(texts: list[str], cache: dict[str, int]) -> list[list[int] | None]:
             for w in set(words).difference(cache):
                 cache[w] = int.from_bytes(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
             h = np.array([cache[w] for w in words], np.uint64)
-            n = max(1, len(words) - WORDS + 1)
+            n = sizes[d] = max(1, len(words) - WORDS + 1)
             key = np.zeros(n, np.uint64)
             for j in range(min(WORDS, len(words))):
                 key = mix(key + h[j : j + n] + _G)
@@ -136,7 +137,7 @@ def bands_of(texts: list[str], cache: dict[str, int]) -> list[list[int] | None]:
             weights.append(weight)
             of.append(np.full(len(key), d))
         if not keys:
-            return [None] * len(texts)
+            return [None] * len(texts), sizes
         of = np.concatenate(of)
         sig = bag_minhash(np.concatenate(keys), np.concatenate(weights).astype(np.int64), of, len(texts), BANDS * ROWS).reshape(-1, BANDS, ROWS)
         out = np.broadcast_to(np.arange(BANDS, dtype=np.uint64) * _G, (len(texts), BANDS))
@@ -144,11 +145,11 @@ def bands_of(texts: list[str], cache: dict[str, int]) -> list[list[int] | None]:
             out = mix(out + sig[:, :, j])
     there = np.zeros(len(texts), bool)
     there[of] = True
-    return [row if ok else None for row, ok in zip(out.view(np.int64).tolist(), there.tolist(), strict=True)]
+    return [row if ok else None for row, ok in zip(out.view(np.int64).tolist(), there.tolist(), strict=True)], sizes
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(node, id, bands) for each distinct non-null text: its 128-bit digest, least id and band hashes."""
+    """(node, id, bands, n) for each distinct non-null text: its 128-bit digest, least id, band hashes and number of shingles."""
     kind = docs.select(id_col).schema[0].dataType.simpleString()
 
     def sign(batches):
@@ -156,11 +157,12 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         for batch in batches:
             for lo in range(0, batch.num_rows, TOGETHER):
                 part = batch.slice(lo, TOGETHER)
-                yield pa.RecordBatch.from_arrays([part.column(1), part.column(0), pa.array(bands_of(part.column(2).to_pylist(), cache), pa.list_(pa.int64()))], names=["node", "id", "bands"])
+                bands, sizes = bands_of(part.column(2).to_pylist(), cache)
+                yield pa.RecordBatch.from_arrays([part.column(1), part.column(0), pa.array(bands, pa.list_(pa.int64())), pa.array(sizes, pa.int32())], names=["node", "id", "bands", "n"])
 
     rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col), F.unhex(F.md5(text_col)), F.col(text_col))
-    signed = rows.mapInArrow(sign, f"node binary, id {kind}, bands array<long>")
-    return signed.groupBy("node").agg(F.min("id").alias("id"), F.first("bands").alias("bands"))
+    signed = rows.mapInArrow(sign, f"node binary, id {kind}, bands array<long>, n int")
+    return signed.groupBy("node").agg(F.min("id").alias("id"), F.first("bands").alias("bands"), F.first("n").alias("n"))
 
 
 def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -199,7 +201,7 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
+        large = large.where("u <> v")
         # small star: a node and its lower neighbours go to the least of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(low, "u")
@@ -212,66 +214,98 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     return edges.select(F.col("u").alias("v"), F.col("v").alias("root"))
 
 
-def _label(members: DataFrame, labels: DataFrame) -> DataFrame:
-    return members.join(labels.select(F.col("v").alias("node"), "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+def prefix_pairs(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) of `nodes` (node, root) with different roots that could be similar: exact, by prefix filtering.
+
+    Shingles, numbered within a text if they repeat, are put in order of rarity.
+    Texts of n shingles that are similar share one of the n - ceil(0.8 n) + 1
+    rarest of each. A passage that many texts share is not rare, so that texts
+    with nothing else in common don't meet.
+    """
+
+    def spread(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, TOGETHER):
+                part = batch.slice(lo, TOGETHER)
+                tokens, sizes = [], []
+                for t in part.column(1).to_pylist():
+                    seen: Counter = Counter()
+                    for g in shingles(t):
+                        seen[g] += 1
+                        tokens.append(int.from_bytes(hashlib.blake2b(f"{seen[g]} {g}".encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True))
+                    sizes.append(seen.total())
+                at = np.repeat(np.arange(part.num_rows), sizes)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at)), part.column(2).take(pa.array(at)), pa.array(tokens, pa.int64()), pa.array(np.array(sizes, np.int32)[at])], names=["node", "root", "token", "n"])
+
+    # one shuffle serves the counts and the join: a text has hundreds of shingles, so that even one in every text is a small part
+    rows = texts.join(nodes, "node").select("node", "text", "root").mapInArrow(spread, "node binary, root binary, token long, n int")
+    rows = store(rows, "tokens").repartition("token")
+    rare = rows.groupBy("token").agg(F.count(F.lit(1)).alias("df"), (F.min("root") != F.max("root")).alias("mixed"))
+    counted = rows.join(rare, "token")
+    # shingles of one text alone come first in its order; only how many they are matters
+    own = counted.where("df = 1").groupBy("node").agg(F.count(F.lit(1)).alias("own"))
+    rank = F.row_number().over(Window.partitionBy("node").orderBy("df", "token"))
+    shared = counted.where("df > 1").withColumn("rank", rank).join(own, "node", "left")
+    prefix = shared.where("mixed AND rank + coalesce(own, 0) <= n - ceil(0.8 * n) + 1")
+    prefix = store(prefix.select("token", "node", "root", "n"), "prefixes")
+    x, y = prefix.select("token", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na")), prefix.select("token", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"))
+    return x.join(y, "token").where("a < b AND ra <> rb AND 5 * least(na, nb) >= 4 * greatest(na, nb)").select("a", "b").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, class_id) for every row: class_id is the least id of all documents connected to it by similarities of 0.8 or more.
 
-    Equal texts are one node from the start, whatever their number. Nodes that
-    share a band are compared with one of the bucket (its least) and the links
-    found merge nodes into components. Buckets that still hold several components
-    are compared with another of their nodes; after PIVOT_ROUNDS rounds all pairs
-    of nodes in a bucket that lie in different components are compared, so that no
-    link between different texts of a bucket is passed over and pairs within a
-    component are never listed.
+    Equal texts are one node from the start, whatever their number. A bucket holds
+    the nodes that share a band and whose lengths allow the similarity. All nodes
+    of a bucket are compared with PIVOTS of them, and the links found merge nodes
+    into components. Of buckets that then hold several components, all pairs that
+    lie in different ones and share a rare shingle are compared: no link between
+    different texts is passed over, and pairs within a component are never listed.
 
     A null text is a class of its own; texts without words are equal or nothing.
     Rows with a null id share the least id of their class, null if it has none.
     """
-    nodes = cut(signatures(docs, id_col, text_col))
-    bands = nodes.where("bands IS NOT NULL").select("node", F.explode("bands").alias("band"))
-    shared = bands.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band")
-    members = cut(bands.join(shared, "band"))
-    wanted = members.select("node").distinct().join(nodes.select("node", "id"), "node").select(F.col("node"), F.col("id").alias("_rep"))
-    texts = docs.where(F.col(text_col).isNotNull()).join(wanted, F.col(id_col).eqNullSafe(F.col("_rep")) & (F.unhex(F.md5(text_col)) == F.col("node")))
-    texts = cut(texts.select("node", F.col(text_col).alias("text")).dropDuplicates(["node"]))
-
-    spark = docs.sparkSession
-    links = spark.createDataFrame([], "a binary, b binary")
-    labels = spark.createDataFrame([], "v binary, root binary")
-    done = False
-    for r in range(PIVOT_ROUNDS):
-        at = _label(members, labels) if r else members.withColumn("root", F.col("node"))
-        spread = at.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min_by(F.struct("node", "root"), F.struct(F.xxhash64("node", F.lit(r)), "node")).alias("p")).where("lo <> hi").select("band", F.col("p.node").alias("pivot"), F.col("p.root").alias("pivot_root"))
-        open_ = cut(at.join(spread, "band").select("band", "node", "root", "pivot", "pivot_root"))
-        pairs = open_.where("root <> pivot_root").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-        found = cut(verify(pairs, texts))
-        links = links.unionByName(found) if r else found
-        labels = components(links)
-        members = open_.where("node <> pivot").select("node", "band")
-        if open_.isEmpty():
-            done = True
-            break
-    if not done:
-        at = _label(members, labels)
-        spread = at.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band")
-        at = cut(at.join(spread, "band"))
-        x, y = at.select("band", F.col("node").alias("a"), F.col("root").alias("ra")), at.select("band", F.col("node").alias("b"), F.col("root").alias("rb"))
-        pairs = x.join(y, "band").where("a < b AND ra <> rb").select("a", "b").distinct()
-        labels = components(links.unionByName(cut(verify(pairs, texts))))
+    docs = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))  # no other column can clash
+    nodes = store(signatures(docs, "_id", "_text"), "signatures")
+    bands = nodes.where("bands IS NOT NULL").select("node", "n", F.explode("bands").alias("band"))
+    shared = bands.groupBy("band").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("band")
+    # lengths within a factor of 1.25 share one of two length classes
+    step = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.25)))
+    members = bands.join(shared, "band").select("node", F.explode(F.array(F.xxhash64("band", step), F.xxhash64("band", step + 1))).alias("bucket"))
+    members = store(members, "members")
+    lead = lambda r: F.min_by("node", F.struct(F.xxhash64("node", F.lit(r)), "node"))
+    pivots = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("c"), F.array(*map(lead, range(PIVOTS))).alias("pivots")).where("c > 1")
+    members = store(members.join(pivots, "bucket").select("bucket", "node", "pivots"), "buckets")
+    pairs = members.select(F.explode("pivots").alias("p"), "node").where("p <> node").select(F.least("p", "node").alias("a"), F.greatest("p", "node").alias("b")).distinct()
+
+    wanted = members.select("node").distinct().join(nodes.select("node", "id"), "node").select("node", F.col("id").alias("_rep"))
+    texts = docs.where("_text IS NOT NULL").join(wanted, F.col("_id").eqNullSafe(F.col("_rep")) & (F.unhex(F.md5("_text")) == F.col("node")))
+    texts = store(texts.select("node", F.col("_text").alias("text")).dropDuplicates(["node"]), "texts")
+
+    labels = components(cut(verify(pairs, texts)))
+    at = members.select("bucket", "node").join(labels.select(F.col("v").alias("node"), "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    at = cut(at)
+    open_ = at.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
+    rest = at.join(open_, "bucket").select("node", "root").distinct()
+    found = cut(verify(prefix_pairs(rest, texts), texts))
+    root_of = at.select("node", "root").distinct()
+    merged = found.join(root_of.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a").join(root_of.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+    higher = components(merged)
     named = nodes.select("node", "id").join(labels.withColumnRenamed("v", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = named.join(higher.select(F.col("v").alias("root"), F.col("root").alias("top")), "root", "left").withColumn("root", F.coalesce("top", "root"))
     least = named.groupBy("root").agg(F.min("id").alias("class_id"))
     of = named.join(least, "root").select("node", "class_id")
-    rows = docs.select(F.col(id_col), F.unhex(F.md5(text_col)).alias("node"))
-    return rows.join(of, "node", "left").select(F.col(id_col), F.when(F.col("node").isNull(), F.col(id_col)).otherwise(F.col("class_id")).alias("class_id"))
+    rows = docs.select("_id", F.unhex(F.md5("_text")).alias("node"))
+    return rows.join(of, "node", "left").select(F.col("_id").alias(id_col), F.when(F.col("node").isNull(), F.col("_id")).otherwise(F.col("class_id")).alias("class_id"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each class, that with the least id, with all its columns; of rows that repeat it one stays. Rows with a null text all stay."""
     classes = near_duplicates(docs, id_col, text_col)
-    keep = classes.where(F.col(id_col).eqNullSafe(F.col("class_id"))).select(F.col(id_col).alias("_keep")).distinct()
-    own = docs.join(keep, F.col(id_col).eqNullSafe(F.col("_keep")), "left_semi")
-    null = own.where(F.col(text_col).isNull())
-    return own.where(F.col(text_col).isNotNull()).dropDuplicates([id_col]).unionByName(null)
+    key = F.coalesce(F.concat(F.lit("v"), F.col(id_col).cast("string")), F.lit("n"))
+    keep = classes.where(F.col(id_col).eqNullSafe(F.col("class_id"))).select(key.alias("_key"), F.lit(True).alias("_kept")).distinct()
+    null = F.col(text_col).isNull()
+    # texts are shuffled once: the window finds them dealt out by the key
+    rows = docs.withColumn("_key", key).join(keep, "_key", "left").where(null | F.col("_kept"))
+    rows = rows.withColumn("_nth", F.row_number().over(Window.partitionBy("_key", null).orderBy("_key")))
+    return rows.where(null | (F.col("_nth") == 1)).select(docs.columns)
