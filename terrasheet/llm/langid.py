@@ -28,7 +28,7 @@ MAX_LANGUAGES = 256
 CACHED_WORDS = 400_000
 #: Texts whose words are looked up together.
 ROWS_TOGETHER = 1000
-#: Words up to this length are summed side by side without rescaling.
+#: Words up to this length are summed side by side.
 TOGETHER = 40
 LETTER = re.compile(r"[^\W\d_]")
 MARK = "▁"
@@ -183,6 +183,7 @@ def likelihoods(words: list[str], prob: np.ndarray, table: dict[str, int], bytes
             h = _prefix_hashes(texts)
             sums = np.zeros((length + 2, len(part), prob.shape[1]))
             sums[0] = 1
+            scale = np.zeros(sums.shape[1:])
             for end in range(1, length + 2):
                 total = sums[end]
                 for n in range(1, min(most, end) + 1):
@@ -196,7 +197,12 @@ def likelihoods(words: list[str], prob: np.ndarray, table: dict[str, int], bytes
                                 p = p * prob[bytes_[byte]]
                             total[j] += p
                     total[rows] += sums[end - n][rows] * prob[ids]
-            out[part] = np.log(sums[-1])
+                low = np.flatnonzero(total.min(axis=1) < 1e-100)
+                if len(low):  # the sums that later ones are made of, as in word_likelihood
+                    s = total[low]
+                    scale[low] += np.log(s)
+                    sums[max(0, end - most + 1) : end + 1, low] /= s
+            out[part] = scale + np.log(sums[-1])
     return out
 
 

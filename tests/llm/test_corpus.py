@@ -421,6 +421,19 @@ def test_forward_sums_all_segmentations():
     assert np.isfinite(long).all() and (long < -10_000).all()
 
 
+def test_unseen_words_do_not_underflow():
+    table = {"▁": 0, "a": 1, "o": 2, "aa": 3}
+    bytes_ = {b: 4 + b for b in range(256)}
+    prob = np.full((4 + 256, 3), 0.05 / 2.5e7) * [1.0, 2.0, 0.5]
+    prob[1, 0], prob[2, 1] = 0.3, 0.2
+    words = ["\u1200" * 40, "\u1200" * 12, "a" * 30 + "\u1200" * 10, "o" * 39, "\U0001f600" * 40]
+    got = langid.likelihoods(words, prob, table, bytes_, 2)
+    assert np.isfinite(got).all()
+    assert got == pytest.approx(np.array([langid.word_likelihood(w, prob, table, bytes_, 2) for w in words]))
+    # 120 bytes and the mark, one way to read them
+    assert got[0] == pytest.approx(121 * np.log(prob[4]))
+
+
 def test_languages_odd(odd, none):
     got = langid.identify(odd).collect()
     by = {r.doc_id: r for r in got}
