@@ -266,6 +266,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Rows with a null id share the least id of their class, null if it has none.
     """
     docs = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))  # no other column can clash
+    named = named_nodes(docs)
+    least = named.groupBy("root").agg(F.min("id").alias("class_id"))
+    of = named.join(least, "root").select("node", "class_id")
+    rows = docs.select("_id", F.unhex(F.md5("_text")).alias("node"))
+    return rows.join(of, "node", "left").select(F.col("_id").alias(id_col), F.when(F.col("node").isNull(), F.col("_id")).otherwise(F.col("class_id")).alias("class_id"))
+
+
+def named_nodes(docs: DataFrame) -> DataFrame:
+    """(node, id, root) for each distinct text of docs (_id, _text): its digest, least id and the label of its class, which no other class has."""
     nodes = store(signatures(docs, "_id", "_text"), "signatures")
     bands = nodes.where("bands IS NOT NULL").select("node", "n", F.explode("bands").alias("band"))
     shared = bands.groupBy("band").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("band")
@@ -292,20 +301,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     merged = found.join(root_of.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a").join(root_of.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
     higher = components(merged)
     named = nodes.select("node", "id").join(labels.withColumnRenamed("v", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    named = named.join(higher.select(F.col("v").alias("root"), F.col("root").alias("top")), "root", "left").withColumn("root", F.coalesce("top", "root"))
-    least = named.groupBy("root").agg(F.min("id").alias("class_id"))
-    of = named.join(least, "root").select("node", "class_id")
-    rows = docs.select("_id", F.unhex(F.md5("_text")).alias("node"))
-    return rows.join(of, "node", "left").select(F.col("_id").alias(id_col), F.when(F.col("node").isNull(), F.col("_id")).otherwise(F.col("class_id")).alias("class_id"))
+    return named.join(higher.select(F.col("v").alias("root"), F.col("root").alias("top")), "root", "left").select("node", "id", F.coalesce("top", "root").alias("root"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each class, that with the least id, with all its columns; of rows that repeat it one stays. Rows with a null text all stay."""
-    classes = near_duplicates(docs, id_col, text_col)
-    key = F.coalesce(F.concat(F.lit("v"), F.col(id_col).cast("string")), F.lit("n"))
-    keep = classes.where(F.col(id_col).eqNullSafe(F.col("class_id"))).select(key.alias("_key"), F.lit(True).alias("_kept")).distinct()
-    null = F.col(text_col).isNull()
-    # texts are shuffled once: the window finds them dealt out by the key
-    rows = docs.withColumn("_key", key).join(keep, "_key", "left").where(null | F.col("_kept"))
-    rows = rows.withColumn("_nth", F.row_number().over(Window.partitionBy("_key", null).orderBy("_key")))
-    return rows.where(null | (F.col("_nth") == 1)).select(docs.columns)
+    """One row of each class with all its columns: that with the least id, null being the last, and of these the least digest; of rows that repeat both one stays. Rows with a null text all stay."""
+    named = named_nodes(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")))
+    first = named.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node")).alias("s"))
+    key = lambda digest, i: F.concat(digest, F.coalesce(F.concat(F.lit("v"), i.cast("string")), F.lit("n")))
+    keep = first.select(key(F.lower(F.hex("s.node")), F.col("s.id")).alias("_key"))
+    # texts are shuffled once, and copies with ids of their own apart: the window finds them dealt out by the key
+    rows = docs.where(F.col(text_col).isNotNull()).withColumn("_key", key(F.md5(text_col), F.col(id_col))).join(keep, "_key")
+    rows = rows.withColumn("_nth", F.row_number().over(Window.partitionBy("_key").orderBy("_key"))).where("_nth = 1")
+    return rows.select(docs.columns).unionByName(docs.where(F.col(text_col).isNull()))

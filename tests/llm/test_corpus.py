@@ -236,6 +236,21 @@ def test_near_duplicates_odd(odd, none):
     assert dedup.near_duplicates(none).count() == 0 and dedup.keep_one(none).count() == 0
 
 
+def test_keep_one_goes_by_class(spark):
+    rng = random.Random(11)
+    text = lambda n: " ".join(rng.choice(WORDS) + str(rng.randrange(10**6)) for _ in range(n))
+    alone, shared, low, high, copied = [text(60) for _ in range(5)], [text(60) for _ in range(3)], text(60), text(60), text(60)
+    rows = [(None, t) for t in alone] + [(None, alone[0]), (None, alone[1] + " tail")]
+    rows += [(7, t) for t in shared] + [(7, shared[0])]
+    rows += [(3, low), (5, low), (5, high), (6, high)] + [(None, copied), (8, copied), (9, copied + " end")] + [(None, None), (None, None), (3, None)]
+    kept = dedup.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    got = collections.Counter((r.doc_id, r.text) for r in kept)
+    ends = {alone[1], alone[1] + " tail"}
+    assert sum(got.pop((None, t), 0) for t in ends) == 1
+    want = [(None, t) for t in alone if t not in ends] + [(7, t) for t in shared] + [(3, low), (5, high), (8, copied), (None, None), (None, None), (3, None)]
+    assert got == collections.Counter(want)
+
+
 # importance resampling
 
 
