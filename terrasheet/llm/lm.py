@@ -46,19 +46,18 @@ def tokens(text: str | None) -> list[bytes]:
 
 
 def core_words(docs: DataFrame, core: int) -> list[bytes]:
-    """Up to `core` words with the largest counts, among those that are at least one token in 8 * core of some task's."""
+    """The `core` words with the largest counts, ties by the word."""
 
     def count(batches):
-        words, n = Counter(), 0
+        words = Counter()
+        rows = lambda: pa.RecordBatch.from_arrays([pa.array(list(words), pa.binary()), pa.array(list(words.values()), pa.int64())], names=["word", "n"])
         for batch in batches:
             for t in batch.column(0).to_pylist():
-                own = tokens(t)
-                n += len(own)
-                words.update(own)
-            if len(words) > 1_000_000:  # what is rare so far can't be a core word
-                words = Counter({w: c for w, c in words.items() if c * 16 * core >= n})
-        rows = [(w, c) for w, c in words.items() if c * 8 * core >= n]
-        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in rows], pa.binary()), pa.array([c for _, c in rows], pa.int64())], names=["word", "n"])
+                words.update(tokens(t))
+            if len(words) > 500_000:  # as a partial sum; nothing is dropped
+                yield rows()
+                words.clear()
+        yield rows()
 
     top = docs.mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(core)
     return [bytes(r[0]) for r in top.collect()]

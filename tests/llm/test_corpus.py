@@ -166,6 +166,14 @@ def test_class_lm_odd(odd, none):
     assert lm.score_documents(none).count() == 0
 
 
+def test_core_words_are_the_most_frequent(spark):
+    parts = [" ".join(["often"] * 5 + [f"own{p}x{i}" for i in range(9) for _ in range(10)] + ["rare"] * 2) for p in range(4)]
+    d = spark.createDataFrame(spark.sparkContext.parallelize([(t,) for t in parts], 4), "text string")
+    assert lm.core_words(d, 1) == [b"often"]
+    count = collections.Counter(w for t in parts for w in lm.tokens(t))
+    assert lm.core_words(d, 12) == sorted(count, key=lambda w: (-count[w], w))[:12]
+
+
 # near duplicates
 
 
