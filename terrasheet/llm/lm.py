@@ -8,13 +8,15 @@ mixed with the unigram probability. Classes come from exchange clustering.
    round the words of a half of them go, one after another, to the class that
    raises the class bigrams' likelihood most. The bigrams of core words are summed over the corpus;
    their table and the classes are bounded by CORE, whatever the corpus.
-2. Every other word makes one exchange move: to the class that its neighbours in
-   the whole corpus make likeliest, given the core's classes.
-3. All words' counts, and the class transitions of all words, make the model.
-
-No task holds the vocabulary. Documents are dealt into chunks of bounded size; a
-chunk sends each of its distinct words once to be counted, with the classes it
-stood next to, and gets back the word's count and class.
+2. Every other word goes to the class that its neighbours in the whole corpus make
+   likeliest, given the core's classes: at first by its core neighbours, then
+   TAIL_ROUNDS times by all of them, with the classes they have got.
+3. All words' counts, and the counted class pairs of all training texts, make the model.
+
+No task holds the vocabulary. Documents are dealt into chunks of bounded size and
+kept as numbers of the chunk's words; a chunk sends each of its distinct words
+once to be counted, with the classes it stood next to, and gets back the word's
+count and class.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import cut, store
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-CORE, CLASSES, ROUNDS = 4096, 48, 8
+CORE, CLASSES, ROUNDS, TAIL_ROUNDS = 4096, 48, 8, 1
 #: Bytes of text in a chunk, about.
 CHUNK_BYTES = 16 << 20
 DELTA = 0.1
@@ -188,56 +190,111 @@ def _encode(texts: list, vocabulary: dict[bytes, int]) -> tuple[np.ndarray, np.n
     return (np.concatenate(parts) if parts else np.empty(0, np.int64)), np.array(lengths, np.int64)
 
 
-def word_rows(docs: DataFrame, core) -> DataFrame:
-    """(word, chunk, n, codes, counts) for each distinct word of a chunk: its count in training texts and, for words that aren't core, the codes of its neighbours (next words' above CODES) with counts."""
+def _contexts(ids: np.ndarray, train: np.ndarray, code: np.ndarray, tail: np.ndarray) -> dict[str, pa.Array]:
+    """By word number: its count in training texts and, for `tail` words, the codes of its neighbours (next words' above CODES) with counts. The last of `code` is END."""
+    words = len(code) - 1
+    n = np.bincount(ids[train & (ids >= 0)], minlength=words)
+    before, after = np.concatenate([[-1], ids[:-1]]), np.concatenate([ids[1:], [-1]])
+    use = train & (ids >= 0)
+    use[use] = tail[ids[use]]
+    key = np.concatenate([ids[use] * (2 * CODES) + code[before[use]], ids[use] * (2 * CODES) + CODES + code[after[use]]])
+    key, times = np.unique(key, return_counts=True)
+    offsets = pa.array(np.searchsorted(key, np.arange(words + 1) * (2 * CODES)).astype(np.int32))
+    return {
+        "n": pa.array(n.astype(np.int64)),
+        "codes": pa.ListArray.from_arrays(offsets, pa.array((key % (2 * CODES)).astype(np.int16))),
+        "counts": pa.ListArray.from_arrays(offsets, pa.array(times.astype(np.int32))),
+    }
+
+
+WORD_ROWS = "chunk int, at int, word binary, n long, codes array<short>, counts array<int>"
+
 
-    def count(table: pa.Table) -> pa.Table:
+def encode_chunks(docs: DataFrame, core, kind: str) -> DataFrame:
+    """Rows of two kinds: (chunk, at, word, n, codes, counts) for each distinct word of a chunk, its number there being `at`, with _contexts by the core's classes; (chunk, id, held_out, ids) for each text, as word numbers with -1 for its end."""
+
+    def encode(table: pa.Table) -> pa.Table:
         own_classes = core.value
         vocabulary: dict[bytes, int] = {}
         held = np.array(table.column("held_out").to_pylist(), bool)
         ids, lengths = _encode(table.column("text").to_pylist(), vocabulary)
         words = list(vocabulary)
         code = np.array([own_classes.get(w, TAIL) for w in words] + [END], np.int64)
-        train = np.repeat(~held, lengths)
-        n = np.bincount(ids[train & (ids >= 0)], minlength=len(words))
-        before, after = np.concatenate([[-1], ids[:-1]]), np.concatenate([ids[1:], [-1]])
-        use = train & (ids >= 0)
-        use[use] = code[ids[use]] == TAIL
-        key = np.concatenate([ids[use] * (2 * CODES) + code[before[use]], ids[use] * (2 * CODES) + CODES + code[after[use]]])
-        key, times = np.unique(key, return_counts=True)
-        offsets = np.searchsorted(key, np.arange(len(words) + 1) * (2 * CODES)).astype(np.int32)
+        found = _contexts(ids, np.repeat(~held, lengths), code, code[:-1] == TAIL)
         chunk = table.column("chunk")[0].as_py()
-        return pa.table(
-            {
-                "word": pa.array(words, pa.binary()),
-                "chunk": pa.array(np.full(len(words), chunk, np.int32)),
-                "n": pa.array(n.astype(np.int64)),
-                "codes": pa.ListArray.from_arrays(pa.array(offsets), pa.array((key % (2 * CODES)).astype(np.int16))),
-                "counts": pa.ListArray.from_arrays(pa.array(offsets), pa.array(times.astype(np.int32))),
-            }
-        )
+        number = lambda n: pa.array(np.full(n, chunk, np.int32))
+        rows = pa.table({"chunk": number(len(words)), "at": pa.array(np.arange(len(words), dtype=np.int32)), "word": pa.array(words, pa.binary()), **found})
+        offsets = pa.array(np.concatenate([[0], 4 * np.cumsum(lengths)]).astype(np.int32))
+        flat = pa.Array.from_buffers(pa.binary(), len(lengths), [None, offsets.buffers()[1], pa.py_buffer(ids.astype(np.int32).tobytes())])
+        texts = pa.table({"chunk": number(len(lengths)), "id": table.column("id"), "held_out": table.column("held_out"), "ids": flat})
+        return pa.concat_tables([rows, texts], promote_options="default")
+
+    return docs.groupBy("chunk").applyInArrow(encode, f"{WORD_ROWS}, id {kind}, held_out boolean, ids binary")
+
+
+def _ids(texts: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Word numbers of all texts of a chunk in a row, and the texts' lengths."""
+    parts = [np.frombuffer(x, np.int32) for x in texts.column("ids").to_pylist()]
+    return (np.concatenate(parts).astype(np.int64) if parts else np.empty(0, np.int64)), np.array(list(map(len, parts)), np.int64)
+
 
-    return docs.groupBy("chunk").applyInArrow(count, "word binary, chunk int, n long, codes array<short>, counts array<int>")
+def _by_number(words: pa.Table, column: str, end: int) -> np.ndarray:
+    """The column's values in the order of the word numbers, and that of an end, which -1 finds."""
+    out = np.full(words.num_rows + 1, end, np.int64)
+    out[words.column("at").to_numpy()] = words.column(column).to_numpy()
+    return out
+
+
+def word_rows(texts: DataFrame, reply: DataFrame, core) -> DataFrame:
+    """The word rows of encode_chunks by the classes that all words have in `reply`."""
+
+    def count(own: pa.Table, words: pa.Table) -> pa.Table:
+        own_classes = core.value
+        words = words.sort_by("at")
+        ids, lengths = _ids(own)
+        held = np.array(own.column("held_out").to_pylist(), bool)
+        names = words.column("word").to_pylist()
+        tail = np.array([w not in own_classes for w in names], bool)
+        found = _contexts(ids, np.repeat(~held, lengths), _by_number(words, "cls", END), tail)
+        return pa.table({"chunk": words.column("chunk"), "at": words.column("at"), "word": words.column("word"), **found})
+
+    return texts.groupBy("chunk").cogroup(reply.groupBy("chunk")).applyInArrow(count, WORD_ROWS)
+
+
+def class_pairs(texts: DataFrame, reply: DataFrame) -> np.ndarray:
+    """Counts of all class pairs of training texts, ends included: CODES squared numbers. An end also stands before a text's start."""
+
+    def count(own: pa.Table, words: pa.Table) -> pa.Table:
+        ids, _ = _ids(own)
+        code = _by_number(words, "cls", END)[ids]
+        total = np.bincount(np.concatenate([[END], code[:-1]]) * CODES + code, minlength=CODES * CODES) if len(code) else np.zeros(0, np.int64)
+        at = np.flatnonzero(total)
+        return pa.table({"k": pa.array(at), "n": pa.array(total[at])})
+
+    pairs = texts.where("NOT held_out").groupBy("chunk").cogroup(reply.groupBy("chunk")).applyInArrow(count, "k long, n long")
+    out = np.zeros(CODES * CODES)
+    for k, n in pairs.groupBy("k").agg(F.sum("n")).collect():
+        out[k] = n
+    return out.reshape(CODES, CODES)
 
 
 def assign(rows: DataFrame, core, log_t) -> DataFrame:
-    """Sends each word's count and class back to its chunks: (chunk, word, c, cls, to).
+    """Sends each word's count and class back to its chunks: (chunk, at, word, c, cls, to).
 
     A word's rows come one after another; of them only sums and the chunks'
-    numbers are held. Rows with a null word and chunk -1 carry sums: c by the codes
-    cls and to of neighbours (to -1: words in class cls; -2: tokens in it; -3: words in all).
+    numbers are held. Rows with a null word and chunk -1 carry sums: c by class cls
+    (to -1: words in it; -2: tokens in it).
     """
-    schema = pa.schema([("chunk", pa.int32()), ("word", pa.binary()), ("c", pa.int64()), ("cls", pa.int32()), ("to", pa.int32())])
+    schema = pa.schema([("chunk", pa.int32()), ("at", pa.int32()), ("word", pa.binary()), ("c", pa.int64()), ("cls", pa.int32()), ("to", pa.int32())])
 
     def merge(batches):
         own_classes, log = core.value, log_t.value
         stats: Counter = Counter()
-        flows = np.zeros((CODES, CODES), np.int64)
         held: tuple | None = None
         for batch in batches:
             word = batch.column("word")
             names = word.to_pylist()
-            chunk, n = batch.column("chunk").to_numpy(), batch.column("n").to_numpy()
+            where, n = batch.column("chunk").to_numpy().astype(np.int64) << 32 | batch.column("at").to_numpy(), batch.column("n").to_numpy()
             lists = batch.column("codes")
             off = lists.offsets.to_numpy()
             codes = lists.values.to_numpy()[off[0] : off[-1]] if len(lists.values) else np.empty(0, np.int64)
@@ -250,26 +307,26 @@ def assign(rows: DataFrame, core, log_t) -> DataFrame:
             ctx = np.zeros((len(start), 2 * CODES), np.int64)
             np.add.at(ctx, (np.repeat(which, np.diff(off)), codes.astype(np.int64)), counts)
             own = [names[i] for i in start]
-            parts = np.split(chunk, start[1:])
+            parts = np.split(where, start[1:])
             if held is not None and own and held[0] == own[0]:
                 total[0] += held[1]
                 ctx[0] += held[2]
                 parts[0] = np.concatenate([held[3], parts[0]])
             elif held is not None:
-                yield from _reply([held[0]], np.array([held[1]]), held[2][None], [held[3]], own_classes, log, stats, flows, schema)
+                yield from _reply([held[0]], np.array([held[1]]), held[2][None], [held[3]], own_classes, log, stats, schema)
             if own:
                 held = (own[-1], int(total[-1]), ctx[-1], parts[-1])
-                yield from _reply(own[:-1], total[:-1], ctx[:-1], parts[:-1], own_classes, log, stats, flows, schema)
+                yield from _reply(own[:-1], total[:-1], ctx[:-1], parts[:-1], own_classes, log, stats, schema)
         if held is not None:
-            yield from _reply([held[0]], np.array([held[1]]), held[2][None], [held[3]], own_classes, log, stats, flows, schema)
-        rows = [(a, b, int(v)) for (a, b), v in stats.items()] + [(int(a), int(b), int(flows[a, b])) for a, b in zip(*np.nonzero(flows), strict=True)]
+            yield from _reply([held[0]], np.array([held[1]]), held[2][None], [held[3]], own_classes, log, stats, schema)
+        rows = [(a, b, int(v)) for (a, b), v in stats.items()]
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array([-1] * len(rows), pa.int32()), pa.array([None] * len(rows), pa.binary()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32())], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array([-1] * len(rows), pa.int32()), pa.array([None] * len(rows), pa.int32()), pa.array([None] * len(rows), pa.binary()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32())], schema=schema)
 
-    return rows.repartition("word").sortWithinPartitions("word").mapInArrow(merge, "chunk int, word binary, c long, cls int, to int")
+    return rows.repartition("word").sortWithinPartitions("word").mapInArrow(merge, "chunk int, at int, word binary, c long, cls int, to int")
 
 
-def _reply(words, total, ctx, chunks, own_classes, log, stats, flows, schema):
+def _reply(words, total, ctx, chunks, own_classes, log, stats, schema):
     """Classes of whole words, the sums they add to, and the rows for their chunks."""
     if not words:
         return
@@ -282,47 +339,25 @@ def _reply(words, total, ctx, chunks, own_classes, log, stats, flows, schema):
     for k in np.unique(cls[seen]):
         stats[(int(k), -1)] += int((cls[seen] == k).sum())
         stats[(int(k), -2)] += int(total[seen & (cls == k)].sum())
-    add = np.zeros((CLASSES, 2 * CODES), np.int64)
-    np.add.at(add, cls[tail], ctx[tail])
-    flows[:, :CLASSES] += add[:, :CODES].T
-    side = add[:, CODES:]
-    flows[:CLASSES, :CLASSES] += side[:, :CLASSES]
-    flows[:CLASSES, TAIL:] += side[:, TAIL:]
     lengths = np.fromiter(map(len, chunks), np.int64, len(chunks))
     flat = np.concatenate(chunks)
     at, names = np.repeat(np.arange(len(words)), lengths), pa.array(words, pa.binary())
     for lo in range(0, len(flat), 50_000):
         part = at[lo : lo + 50_000]
-        yield pa.RecordBatch.from_arrays([pa.array(flat[lo : lo + 50_000], pa.int32()), names.take(pa.array(part)), pa.array(total[part], pa.int64()), pa.array(cls[part], pa.int32()), pa.array(np.zeros(len(part), np.int32))], schema=schema)
+        yield pa.RecordBatch.from_arrays([pa.array((flat[lo : lo + 50_000] >> 32).astype(np.int32)), pa.array((flat[lo : lo + 50_000] & 0xFFFFFFFF).astype(np.int32)), names.take(pa.array(part)), pa.array(total[part], pa.int64()), pa.array(cls[part], pa.int32()), pa.array(np.zeros(len(part), np.int32))], schema=schema)
 
 
 class Model:
     """Numbers of the fitted model; its size depends on CLASSES alone."""
 
-    def __init__(self, core_counts: np.ndarray, sums: list[tuple[int, int, int]], texts: int):
+    def __init__(self, counts: np.ndarray, sums: list[tuple[int, int, int]], texts: int):
         words, size = np.zeros(CLASSES), np.zeros(CLASSES)
-        flow = np.zeros((CODES, CODES))
         for cls, to, c in sums:
-            if to == -1:
-                words[cls] += c
-            elif to == -2:
-                size[cls] += c
-            else:
-                flow[cls, to] += c
+            (words if to == -1 else size)[cls] += c
         self.tokens = int(size.sum()) + texts
         self.words = int(words.sum()) + (texts > 0)
-        # core words next to core words or ends are in core_counts; flow has each neighbour of the other words
-        core = core_counts.copy()
-        core[TAIL, :] = core[:, TAIL] = 0
-        inner = flow.copy()
-        inner[TAIL, :] = inner[:, TAIL] = 0
-        t = core + inner
-        # two such words in a row: their classes are taken as independent
-        first, second = flow[:CLASSES, TAIL], flow[TAIL, :CLASSES]
-        if first.sum() and second.sum():
-            t[:CLASSES, :CLASSES] += np.outer(first, second) / max(first.sum(), second.sum())
         keep = [*range(CLASSES), END]
-        t = t[np.ix_(keep, keep)]
+        t = counts[np.ix_(keep, keep)]
         mass = np.append(size, texts)
         share = mass / max(mass.sum(), 1)
         move = (t + PRIOR * share) / (t.sum(axis=1, keepdims=True) + PRIOR)
@@ -350,10 +385,10 @@ class Model:
 def score_chunks(docs: DataFrame, reply: DataFrame, model, texts: int, kind: str) -> DataFrame:
     def score(own: pa.Table, words: pa.Table) -> pa.Table:
         m: Model = model.value
-        vocabulary: dict[bytes, int] = {w: i for i, w in enumerate(words.column("word").to_pylist())}
-        count = np.append(words.column("c").to_numpy(), texts)
-        cls = np.append(np.where(count[:-1] > 0, words.column("cls").to_numpy(), CLASSES + 1), CLASSES).astype(np.int64)
-        ids, lengths = _encode(own.column("text").to_pylist(), vocabulary)
+        count = _by_number(words, "c", texts)
+        cls = _by_number(words, "cls", CLASSES)
+        cls[:-1][count[:-1] == 0] = CLASSES + 1
+        ids, lengths = _ids(own)
         c, k = count[ids], cls[ids]
         before = np.concatenate([[CLASSES], k[:-1]])
         ends = np.cumsum(lengths)
@@ -401,8 +436,14 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     log_t = np.log(t / t.sum(axis=1, keepdims=True)) - 0.5 * np.log(t.sum(axis=0) / t.sum())[None, :]
     log_t[TAIL, :] = log_t[:, TAIL] = 0.0
     chunked, _ = _chunks(rows, chunk_bytes)
-    reply = store(assign(word_rows(chunked, own), own, sc.broadcast(log_t)), "words")
+    chunked = store(encode_chunks(chunked, own, kind), "chunks")
+    encoded = chunked.where("at IS NULL").select("chunk", "id", "held_out", "ids")
+    found, log_t = chunked.where("at IS NOT NULL").drop("id", "held_out", "ids"), sc.broadcast(log_t)
+    for _ in range(TAIL_ROUNDS):
+        found = word_rows(encoded, assign(found, own, log_t).where("chunk >= 0").select("chunk", "at", "word", "cls"), own)
+    reply = store(assign(found, own, log_t).drop("word"), "words")
     sums = [(r[0], r[1], r[2]) for r in reply.where("chunk = -1").groupBy("cls", "to").agg(F.sum("c")).collect()]
-    model = sc.broadcast(Model(counts, sums, texts))
-    scored = score_chunks(chunked, reply.where("chunk >= 0").select("chunk", "word", "c", "cls"), model, texts, kind)
+    reply = reply.where("chunk >= 0").select("chunk", "at", "c", "cls")
+    model = sc.broadcast(Model(class_pairs(encoded, reply), sums, texts))
+    scored = score_chunks(encoded, reply, model, texts, kind)
     return scored.withColumnRenamed("id", id_col)

@@ -166,6 +166,33 @@ def test_class_lm_odd(odd, none):
     assert lm.score_documents(none).count() == 0
 
 
+def test_class_pairs_are_counted(docs, monkeypatch):
+    models, init = [], lm.Model.__init__
+
+    def keep(self, counts, sums, texts):
+        models.append((counts, sums, texts))
+        init(self, counts, sums, texts)
+
+    monkeypatch.setattr(lm.Model, "__init__", keep)
+    lm.score_documents(docs, core=60, rounds=2, chunk_bytes=200_000).count()
+    (counts, sums, texts), = models
+    assert not counts[lm.TAIL].any() and not counts[:, lm.TAIL].any()
+    sizes = np.array([sum(c for k, to, c in sums if (k, to) == (cls, -2)) for cls in range(lm.CLASSES)])
+    for axis in (0, 1):
+        # each token of the training texts, core or not, stands once after and once before another or an end
+        assert counts.sum(axis)[: lm.CLASSES].tolist() == sizes.tolist() and counts.sum(axis)[lm.END] == texts
+
+
+def test_class_pairs(spark):
+    ids = lambda *x: np.array(x, np.int32).tobytes()
+    texts = spark.createDataFrame([(0, 1, False, ids(0, 1, -1)), (0, 2, False, ids(2, -1)), (0, 3, True, ids(0, 0, -1)), (1, 4, False, ids(0, 0, -1)), (1, 5, False, ids(-1))], "chunk int, id int, held_out boolean, ids binary")
+    reply = spark.createDataFrame([(0, 2, 9, 5), (0, 0, 9, 7), (0, 1, 9, 8), (1, 0, 9, 3)], "chunk int, at int, c long, cls int")
+    got, want = lm.class_pairs(texts, reply), np.zeros((lm.CODES, lm.CODES))
+    for a, b in [(lm.END, 7), (7, 8), (8, lm.END), (lm.END, 5), (5, lm.END), (lm.END, 3), (3, 3), (3, lm.END), (lm.END, lm.END)]:
+        want[a, b] += 1
+    assert (got == want).all()
+
+
 def test_core_words_are_the_most_frequent(spark):
     parts = [" ".join(["often"] * 5 + [f"own{p}x{i}" for i in range(9) for _ in range(10)] + ["rare"] * 2) for p in range(4)]
     d = spark.createDataFrame(spark.sparkContext.parallelize([(t,) for t in parts], 4), "text string")
