@@ -22,14 +22,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, store
+from .common import cut, free_name, release, store
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 WORDS, SIMILARITY = 5, 0.8
 #: 32 bands of 4: a pair at similarity 0.8 shares none with probability 5e-8.
 BANDS, ROWS = 32, 4
-#: Members of a bucket that all its others are compared with, before the rest is compared in pairs.
-PIVOTS = 3
+#: Rounds in which every bucket compares one of its members with all others, before the rest is compared in pairs.
+PIVOT_ROUNDS = 2
+#: Bits of the filter that keeps most texts without a similar one out of the second pass: 16 MB at most.
+FILTER_BITS = 1 << 27
 #: Texts that are signed side by side.
 TOGETHER = 64
 
@@ -43,21 +45,52 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def word_hashes(texts: list[str], cache: dict[str, int]) -> list[np.ndarray]:
+    """The 64-bit hashes of each text's words, in lower case; the cache is emptied when large."""
+    if len(cache) > 300_000:
+        cache.clear()
+    out = []
+    for text in texts:
+        words = WORD.findall(text.lower())
+        for w in set(words).difference(cache):
+            cache[w] = int.from_bytes(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+        out.append(np.fromiter(map(cache.__getitem__, words), np.uint64, len(words)))
+    return out
+
+
+def shingle_keys(h: np.ndarray) -> np.ndarray:
+    """A 64-bit key for each run of five words; a text with fewer words is one run."""
+    n = max(1, len(h) - WORDS + 1)
+    key = np.zeros(n, np.uint64)
+    for j in range(min(WORDS, len(h))):
+        key = mix(key + h[j : j + n] + _G)
+    return key
+
+
+def shingle_set(h: np.ndarray) -> np.ndarray:
+    """The multiset of a text's shingles as a sorted set: the second occurrence of a shingle is a member of its own."""
+    if not len(h):
+        return np.empty(0, np.int64)
+    with np.errstate(over="ignore"):
+        key = np.sort(shingle_keys(h))
+        new = np.concatenate([[True], key[1:] != key[:-1]])
+        place = np.arange(len(key))
+        nth = place - np.maximum.accumulate(np.where(new, place, 0))
+        return np.sort(mix(key + nth.astype(np.uint64) * _C1).view(np.int64))
+
+
 def shingles(text: str) -> list[str]:
     """Runs of five words in lower case; a text with fewer words is one run, one without words none."""
     words = WORD.findall(text.lower())
     return [" ".join(words[i : i + WORDS]) for i in range(max(1, len(words) - WORDS + 1))] if words else []
 
 
-def overlap_at_least(a: Counter, n_a: int, b: Counter, n_b: int) -> bool:
-    """Whether the multisets' weighted Jaccard similarity is SIMILARITY or more, in whole numbers."""
-    if 5 * min(n_a, n_b) < 4 * max(n_a, n_b):
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two shingle sets have a Jaccard similarity of SIMILARITY or more, in whole numbers."""
+    if 5 * min(len(a), len(b)) < 4 * max(len(a), len(b)):
         return False
-    if len(b) < len(a):
-        a, b = b, a
-    get = b.get
-    both = sum(min(n, get(s, 0)) for s, n in a.items())
-    return 5 * both >= 4 * (n_a + n_b - both)
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return 5 * both >= 4 * (len(a) + len(b) - both)
 
 
 def bag_minhash(keys: np.ndarray, weights: np.ndarray, of: np.ndarray, texts: int, m: int) -> np.ndarray:
@@ -118,20 +151,12 @@ def _points(keys, weights, of, limit, texts: int, m: int):
 def bands_of(texts: list[str], cache: dict[str, int]) -> tuple[list[list[int] | None], list[int]]:
     """The band hashes of each text, None for one without words, and its number of shingles."""
     keys, weights, of, sizes = [], [], [], [0] * len(texts)
-    if len(cache) > 300_000:
-        cache.clear()
     with np.errstate(over="ignore"):
-        for d, text in enumerate(texts):
-            words = WORD.findall(text.lower())
-            if not words:
+        for d, h in enumerate(word_hashes(texts, cache)):
+            if not len(h):
                 continue
-            for w in set(words).difference(cache):
-                cache[w] = int.from_bytes(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
-            h = np.array([cache[w] for w in words], np.uint64)
-            n = sizes[d] = max(1, len(words) - WORDS + 1)
-            key = np.zeros(n, np.uint64)
-            for j in range(min(WORDS, len(words))):
-                key = mix(key + h[j : j + n] + _G)
+            key = shingle_keys(h)
+            sizes[d] = len(key)
             key, weight = np.unique(key, return_counts=True)
             keys.append(key)
             weights.append(weight)
@@ -165,38 +190,72 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return signed.groupBy("node").agg(F.min("id").alias("id"), F.first("bands").alias("bands"), F.first("n").alias("n"))
 
 
-def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose texts overlap enough; texts: (node, text)."""
+def shingle_sets(docs: DataFrame, wanted: DataFrame, text_col: str) -> DataFrame:
+    """(node, grams): the shingle sets of the wanted nodes' texts.
+
+    A filter of bounded size, filled with the wanted digests, keeps other texts
+    from being shuffled; what it lets through by chance goes in the join.
+    """
+    size = 1 << 15
+    count = wanted.count()
+    while size < min(64 * count, FILTER_BITS):
+        size *= 2
+    place = F.pmod(F.xxhash64("node"), F.lit(size))
+    words = wanted.select(place.alias("at")).groupBy(F.bitmap_bucket_number(F.col("at") + 1).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("at") + 1)).alias("bits"))
+    bits = np.zeros(size // 8, np.uint8)
+    for part, found in words.collect():
+        bits[(part - 1) * 4096 : part * 4096] = np.frombuffer(found, np.uint8)[: size // 8]
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
+
+    def gather(batches):
+        cache: dict[str, int] = {}
+        seen: set[bytes] = set()
+        for batch in batches:
+            at = batch.column(1).to_numpy()
+            hits = np.flatnonzero(shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1)
+            for lo in range(0, len(hits), TOGETHER):
+                part = batch.take(pa.array(hits[lo : lo + TOGETHER]))
+                nodes = part.column(0).to_pylist()
+                fresh = [i for i, x in enumerate(nodes) if not (x in seen or seen.add(x))]
+                sets = list(map(shingle_set, word_hashes(part.column(2).take(pa.array(fresh, pa.int64())).to_pylist(), cache)))
+                ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+                grams = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int64), *sets])))
+                yield pa.RecordBatch.from_arrays([pa.array([nodes[i] for i in fresh], pa.binary()), grams], names=["node", "grams"])
+
+    digests = docs.where(F.col(text_col).isNotNull()).select(F.unhex(F.md5(text_col)).alias("node"), F.col(text_col).alias("_text"))
+    sets = digests.select("node", place.alias("at"), "_text").mapInArrow(gather, "node binary, grams array<long>")
+    return sets.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("grams").alias("grams"))
+
+
+def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) that are similar; sets: (node, grams)."""
 
     def check(batches):
-        last, bag, size = None, Counter(), 0
         for batch in batches:
-            a, b, ta, tb = (batch.column(i) for i in range(4))
-            keep = []
-            for i in range(batch.num_rows):
-                if a[i] != last:
-                    s = shingles(ta[i].as_py())
-                    last, bag, size = a[i], Counter(s), len(s)
-                s = shingles(tb[i].as_py())
-                keep.append(overlap_at_least(bag, size, Counter(s), len(s)))
-            yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    b = texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
-    a = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
-    both = pairs.join(b, "b").join(a, "a").select("a", "b", "ta", "tb")
-    return both.mapInArrow(check, "a binary, b binary")
-
-
-def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
-    """(v, root) for every node with an edge: root is the least node of its component.
-
-    Alternating large-star and small-star steps, each an aggregate of minima and
-    joins, so that no node's neighbours are ever gathered; a node with very many
-    of them is split by Spark's skew join.
+            x, y = batch.column(2), batch.column(3)
+            xo, yo, xv, yv = x.offsets.to_numpy(), y.offsets.to_numpy(), x.values.to_numpy(), y.values.to_numpy()
+            keep = [similar(xv[xo[i] : xo[i + 1]], yv[yo[i] : yo[i + 1]]) for i in range(batch.num_rows)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    b = sets.select(F.col("node").alias("b"), F.col("grams").alias("gb"))
+    a = sets.select(F.col("node").alias("a"), F.col("grams").alias("ga"))
+    return pairs.join(b, "b").join(a, "a").select("a", "b", "ga", "gb").mapInArrow(check, "a binary, b binary")
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(v, root) for every node with an edge (a, b): root is the least node of its component.
+
+    Alternating large-star and small-star steps until they change nothing, each
+    an aggregate of minima and joins, so that no node's neighbours are ever
+    gathered; a node with very many of them is split by Spark's skew join.
     """
     edges = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     edges, before = cut(edges), None
-    for _ in range(most_rounds):
+    while True:
+        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
+        if now[0] == 0 or now == before:
+            return edges.select(F.col("u").alias("v"), F.col("v").alias("root"))
+        before = now
         # large star: every neighbour above a node goes to the node's least neighbour or itself
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
@@ -207,60 +266,52 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
         joined = large.join(low, "u")
         small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         edges = cut(small)
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if now == before:
-            break
-        before = now
-    return edges.select(F.col("u").alias("v"), F.col("v").alias("root"))
 
 
-def prefix_pairs(nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs (a, b) of `nodes` (node, root) with different roots that could be similar: exact, by prefix filtering.
+def relabel(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels (node, root) with the roots merged that links (a, b) of nodes connect."""
+    ra, rb = labels.select(F.col("node").alias("a"), F.col("root").alias("ra")), labels.select(F.col("node").alias("b"), F.col("root").alias("rb"))
+    edges = links.join(ra, "a").join(rb, "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+    top = components(edges).select(F.col("v").alias("root"), F.col("root").alias("top"))
+    return labels.join(top, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
 
-    Shingles, numbered within a text if they repeat, are put in order of rarity.
-    Texts of n shingles that are similar share one of the n - ceil(0.8 n) + 1
-    rarest of each. A passage that many texts share is not rare, so that texts
-    with nothing else in common don't meet.
-    """
 
-    def spread(batches):
-        for batch in batches:
-            for lo in range(0, batch.num_rows, TOGETHER):
-                part = batch.slice(lo, TOGETHER)
-                tokens, sizes = [], []
-                for t in part.column(1).to_pylist():
-                    seen: Counter = Counter()
-                    for g in shingles(t):
-                        seen[g] += 1
-                        tokens.append(int.from_bytes(hashlib.blake2b(f"{seen[g]} {g}".encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True))
-                    sizes.append(seen.total())
-                at = np.repeat(np.arange(part.num_rows), sizes)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at)), part.column(2).take(pa.array(at)), pa.array(tokens, pa.int64()), pa.array(np.array(sizes, np.int32)[at])], names=["node", "root", "token", "n"])
-
-    # one shuffle serves the counts and the join: a text has hundreds of shingles, so that even one in every text is a small part
-    rows = texts.join(nodes, "node").select("node", "text", "root").mapInArrow(spread, "node binary, root binary, token long, n int")
-    rows = store(rows, "tokens").repartition("token")
-    rare = rows.groupBy("token").agg(F.count(F.lit(1)).alias("df"), (F.min("root") != F.max("root")).alias("mixed"))
-    counted = rows.join(rare, "token")
-    # shingles of one text alone come first in its order; only how many they are matters
-    own = counted.where("df = 1").groupBy("node").agg(F.count(F.lit(1)).alias("own"))
-    rank = F.row_number().over(Window.partitionBy("node").orderBy("df", "token"))
-    shared = counted.where("df > 1").withColumn("rank", rank).join(own, "node", "left")
-    prefix = shared.where("mixed AND rank + coalesce(own, 0) <= n - ceil(0.8 * n) + 1")
-    prefix = store(prefix.select("token", "node", "root", "n"), "prefixes")
-    x, y = prefix.select("token", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na")), prefix.select("token", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"))
-    return x.join(y, "token").where("a < b AND ra <> rb AND 5 * least(na, nb) >= 4 * greatest(na, nb)").select("a", "b").distinct()
+def rest_pairs(rest: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of `rest` (node, root) with different roots that could be similar: exact, by prefix and position.
+
+    Only shingles that occur under several roots can count for such a pair. A
+    text's are put in order of rarity; one with n shingles, s of which are such,
+    shares one of its first s - ceil(0.8 n) + 1 with every text similar to it. At
+    the first that a pair has in common, what follows in both must suffice for
+    the overlap, which leaves out nearly all copies of one text that each have
+    too many words of their own.
+    """
+    key = F.xxhash64("node").alias("k")
+    rows = sets.join(rest, "node").select(key, F.xxhash64("root").alias("r"), F.size("grams").alias("n"), F.explode("grams").alias("gram"))
+    seen = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("df"), F.min("r").alias("lo"), F.max("r").alias("hi")).where("lo <> hi").select("gram", "df")
+    place = F.row_number().over(Window.partitionBy("k").orderBy("df", "gram"))
+    total = F.count(F.lit(1)).over(Window.partitionBy("k"))
+    ranked = rows.join(seen, "gram").withColumn("s", total).withColumn("at", place)
+    prefix = ranked.where("5 * (s - at + 1) >= 4 * n").select("gram", "k", "r", "n", (F.col("s") - F.col("at") + 1).alias("left"))
+    prefix = store(prefix, "prefixes")
+    side = lambda x: prefix.select("gram", *(F.col(c).alias(c + x) for c in ("k", "r", "n", "left")))
+    met = side("a").join(side("b"), "gram").where("ka < kb AND ra <> rb AND 9 * least(lefta, leftb) >= 4 * (na + nb)").select("ka", "kb").distinct()
+    name = lambda x: rest.select(key.alias("k" + x), F.col("node").alias(x))
+    return met.join(name("a"), "ka").join(name("b"), "kb").select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, class_id) for every row: class_id is the least id of all documents connected to it by similarities of 0.8 or more.
 
     Equal texts are one node from the start, whatever their number. A bucket holds
-    the nodes that share a band and whose lengths allow the similarity. All nodes
-    of a bucket are compared with PIVOTS of them, and the links found merge nodes
-    into components. Of buckets that then hold several components, all pairs that
-    lie in different ones and share a rare shingle are compared: no link between
-    different texts is passed over, and pairs within a component are never listed.
+    the nodes that share a band and whose lengths allow the similarity. In each of
+    PIVOT_ROUNDS rounds every bucket that still holds several components takes its
+    most central member outside those of earlier rounds, that whose bands are
+    shared most, and compares all others with it. The links found merge nodes into
+    components. Of buckets that then hold several components, the pairs across
+    them that could be similar are found by exact bounds and compared: no link
+    between different texts is passed over, and pairs within a component are never
+    listed.
 
     A null text is a class of its own; texts without words are equal or nothing.
     Rows with a null id share the least id of their class, null if it has none.
@@ -273,35 +324,55 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(of, "node", "left").select(F.col("_id").alias(id_col), F.when(F.col("node").isNull(), F.col("_id")).otherwise(F.col("class_id")).alias("class_id"))
 
 
-def named_nodes(docs: DataFrame) -> DataFrame:
-    """(node, id, root) for each distinct text of docs (_id, _text): its digest, least id and the label of its class, which no other class has."""
-    nodes = store(signatures(docs, "_id", "_text"), "signatures")
+def bucket_members(nodes: DataFrame) -> DataFrame:
+    """(bucket, node, n, central): the members of each bucket of two or more nodes; central is the number of nodes that share a band with it, over all bands."""
     bands = nodes.where("bands IS NOT NULL").select("node", "n", F.explode("bands").alias("band"))
-    shared = bands.groupBy("band").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("band")
+    shared = bands.groupBy("band").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    bands = store(bands.join(shared, "band"), "bands")
+    central = bands.groupBy("node").agg(F.sum("c").alias("central"))
     # lengths within a factor of 1.25 share one of two length classes
     step = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.25)))
-    members = bands.join(shared, "band").select("node", F.explode(F.array(F.xxhash64("band", step), F.xxhash64("band", step + 1))).alias("bucket"))
+    members = bands.join(central, "node").select("node", "n", "central", F.explode(F.array(F.xxhash64("band", step), F.xxhash64("band", step + 1))).alias("bucket"))
     members = store(members, "members")
-    lead = lambda r: F.min_by("node", F.struct(F.xxhash64("node", F.lit(r)), "node"))
-    pivots = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("c"), F.array(*map(lead, range(PIVOTS))).alias("pivots")).where("c > 1")
-    members = store(members.join(pivots, "bucket").select("bucket", "node", "pivots"), "buckets")
-    pairs = members.select(F.explode("pivots").alias("p"), "node").where("p <> node").select(F.least("p", "node").alias("a"), F.greatest("p", "node").alias("b")).distinct()
-
-    wanted = members.select("node").distinct().join(nodes.select("node", "id"), "node").select("node", F.col("id").alias("_rep"))
-    texts = docs.where("_text IS NOT NULL").join(wanted, F.col("_id").eqNullSafe(F.col("_rep")) & (F.unhex(F.md5("_text")) == F.col("node")))
-    texts = store(texts.select("node", F.col("_text").alias("text")).dropDuplicates(["node"]), "texts")
-
-    labels = components(cut(verify(pairs, texts)))
-    at = members.select("bucket", "node").join(labels.select(F.col("v").alias("node"), "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    at = cut(at)
-    open_ = at.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
-    rest = at.join(open_, "bucket").select("node", "root").distinct()
-    found = cut(verify(prefix_pairs(rest, texts), texts))
-    root_of = at.select("node", "root").distinct()
-    merged = found.join(root_of.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a").join(root_of.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
-    higher = components(merged)
-    named = nodes.select("node", "id").join(labels.withColumnRenamed("v", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    return named.join(higher.select(F.col("v").alias("root"), F.col("root").alias("top")), "root", "left").select("node", "id", F.coalesce("top", "root").alias("root"))
+    release(bands)
+    full = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("bucket")
+    out = store(members.join(full, "bucket"), "buckets")
+    release(members)
+    return out
+
+
+def open_members(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """The members, with their root, of the buckets that hold several roots."""
+    at = members.join(labels, "node")
+    several = at.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
+    return at.join(several, "bucket")
+
+
+def named_nodes(docs: DataFrame) -> DataFrame:
+    """(node, id, root) for each distinct text of docs (_id, _text): its digest, least id and the label of its class, which no other class has."""
+    nodes = store(signatures(docs, "_id", "_text"), "signatures")
+    members = bucket_members(nodes)
+    labels = store(members.select("node", F.col("node").alias("root")).distinct(), "labels")
+    sets = store(shingle_sets(docs, labels.select("node"), "_text"), "sets")
+    pivots = None
+    for _ in range(PIVOT_ROUNDS):
+        left = open_members(members, labels).withColumn("fresh", F.lit(True))
+        if pivots is not None:  # those of earlier rounds, and what they are linked with, make way
+            done = pivots.select("bucket", "p.node").join(labels, "node").select("bucket", "root", F.lit(False).alias("fresh"))
+            left = left.drop("fresh").join(done.distinct(), ["bucket", "root"], "left").withColumn("fresh", F.coalesce("fresh", F.lit(True)))
+        left = store(left, "open")
+        chosen = store(left.groupBy("bucket").agg(F.max_by(F.struct("node", "root", "n"), F.struct("fresh", "central", "node")).alias("p")), "pivots")
+        pivots = chosen if pivots is None else pivots.unionByName(chosen)
+        pairs = left.join(chosen, "bucket").where("root <> p.root AND 5 * least(n, p.n) >= 4 * greatest(n, p.n)")
+        pairs = pairs.select(F.col("p.node").alias("a"), F.col("node").alias("b")).distinct()
+        links, old = store(verify(pairs, sets), "links"), labels
+        labels = store(relabel(old, links), "labels")
+        release(left, links, old)
+    rest = store(open_members(members, labels).select("node", "root").distinct(), "rest")
+    links = store(verify(rest_pairs(rest, sets), sets), "links")
+    labels = store(relabel(labels, links), "labels")
+    release(members, sets, rest, links)
+    return nodes.select("node", "id").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -309,8 +380,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     named = named_nodes(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")))
     first = named.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node")).alias("s"))
     key = lambda digest, i: F.concat(digest, F.coalesce(F.concat(F.lit("v"), i.cast("string")), F.lit("n")))
-    keep = first.select(key(F.lower(F.hex("s.node")), F.col("s.id")).alias("_key"))
+    name, nth = free_name(docs, "_key"), free_name(docs, "_nth")
+    keep = first.select(key(F.lower(F.hex("s.node")), F.col("s.id")).alias(name))
     # texts are shuffled once, and copies with ids of their own apart: the window finds them dealt out by the key
-    rows = docs.where(F.col(text_col).isNotNull()).withColumn("_key", key(F.md5(text_col), F.col(id_col))).join(keep, "_key")
-    rows = rows.withColumn("_nth", F.row_number().over(Window.partitionBy("_key").orderBy("_key"))).where("_nth = 1")
+    rows = docs.where(F.col(text_col).isNotNull()).withColumn(name, key(F.md5(text_col), F.col(id_col))).join(keep, name)
+    rows = rows.withColumn(nth, F.row_number().over(Window.partitionBy(name).orderBy(name))).where(F.col(nth) == 1)
     return rows.select(docs.columns).unionByName(docs.where(F.col(text_col).isNull()))

@@ -216,7 +216,7 @@ def brute_classes(rows):
     for i in range(len(rows)):
         for j in range(i):
             a, b = bags[i], bags[j]
-            if a is not None and b is not None and (rows[i][1] == rows[j][1] or a and b and dedup.overlap_at_least(a, a.total(), b, b.total())):
+            if a is not None and b is not None and (rows[i][1] == rows[j][1] or a and b and 5 * (a & b).total() >= 4 * (a | b).total()):
                 parent[root(i)] = root(j)
     groups = {}
     for i in range(len(rows)):
