@@ -44,10 +44,27 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def store(df: DataFrame, kind: str) -> DataFrame:
-    """Cuts the lineage of a large frame with a Parquet table in the shared folder, which takes less room than a checkpoint."""
+    """Cuts the lineage of a large frame with a Parquet table in the shared folder, which takes less room than a checkpoint.
+
+    The shuffles that made it are deleted with the end of the write.
+    """
     path = new_dir(df.sparkSession, kind)
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    write(df, path)
+    return stored(df.sparkSession, path, df.schema)
+
+
+def write(df: DataFrame, path: str, *by: str) -> None:
+    conf, name = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(name, None)
+    conf.set(name, "true")
+    try:
+        df.write.partitionBy(*by).parquet(path)
+    finally:
+        conf.unset(name) if before is None else conf.set(name, before)
+
+
+def stored(spark: SparkSession, path: str, schema) -> DataFrame:
+    out = spark.read.schema(schema).parquet(path)
     out.stored_in = path
     return out
 
@@ -55,8 +72,12 @@ def store(df: DataFrame, kind: str) -> DataFrame:
 def release(*stored: DataFrame) -> None:
     """Deletes the tables of store() that nothing reads any more."""
     for df in stored:
-        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.stored_in)
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        delete(df.sparkSession, df.stored_in)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def free_name(df: DataFrame, name: str) -> str:

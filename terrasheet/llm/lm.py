@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, store
+from .common import cut, delete, new_dir, release, store, stored, write
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 CORE, CLASSES, ROUNDS, TAIL_ROUNDS = 4096, 48, 8, 1
@@ -172,7 +172,8 @@ def exchange(bigrams: DataFrame, core: int, rounds: int) -> np.ndarray:
 def _chunks(docs: DataFrame, chunk_bytes: int) -> tuple[DataFrame, int]:
     size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     n = max(1, -(-size // chunk_bytes))
-    return docs.withColumn("chunk", F.pmod(F.xxhash64("id", "text"), F.lit(n)).cast("int")), n
+    # rows that repeat both id and text go to chunks by the partition they are read in
+    return docs.withColumn("chunk", F.pmod(F.xxhash64("id", "text", F.spark_partition_id()), F.lit(n)).cast("int")), n
 
 
 def _encode(texts: list, vocabulary: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
@@ -436,12 +437,18 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     log_t = np.log(t / t.sum(axis=1, keepdims=True)) - 0.5 * np.log(t.sum(axis=0) / t.sum())[None, :]
     log_t[TAIL, :] = log_t[:, TAIL] = 0.0
     chunked, _ = _chunks(rows, chunk_bytes)
-    chunked = store(encode_chunks(chunked, own, kind), "chunks")
-    encoded = chunked.where("at IS NULL").select("chunk", "id", "held_out", "ids")
-    found, log_t = chunked.where("at IS NOT NULL").drop("id", "held_out", "ids"), sc.broadcast(log_t)
+    chunked = encode_chunks(chunked, own, kind).withColumn("kind", F.when(F.col("at").isNull(), "text").otherwise("word"))
+    path = new_dir(docs.sparkSession, "chunks")
+    write(chunked, path, "kind")
+    words = stored(docs.sparkSession, path, f"{WORD_ROWS}, kind string").where("kind = 'word'").drop("kind")
+    encoded = stored(docs.sparkSession, path, f"chunk int, id {kind}, held_out boolean, ids binary, kind string").where("kind = 'text'").drop("kind")
+    log_t = sc.broadcast(log_t)
+    reply = store(assign(words, own, log_t), "words")
+    delete(docs.sparkSession, f"{path}/kind=word")
     for _ in range(TAIL_ROUNDS):
-        found = word_rows(encoded, assign(found, own, log_t).where("chunk >= 0").select("chunk", "at", "word", "cls"), own)
-    reply = store(assign(found, own, log_t).drop("word"), "words")
+        found = word_rows(encoded, reply.where("chunk >= 0").select("chunk", "at", "word", "cls"), own)
+        reply, old = store(assign(found, own, log_t), "words"), reply
+        release(old)
     sums = [(r[0], r[1], r[2]) for r in reply.where("chunk = -1").groupBy("cls", "to").agg(F.sum("c")).collect()]
     reply = reply.where("chunk >= 0").select("chunk", "at", "c", "cls")
     model = sc.broadcast(Model(class_pairs(encoded, reply), sums, texts))
