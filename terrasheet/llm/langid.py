@@ -8,16 +8,18 @@ over the whole text splits at white space, where pieces of this vocabulary begin
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import free_name, release, store
+
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 UNDETERMINED = "und"
 #: Added to each piece's count in each language.
@@ -30,7 +32,8 @@ CACHED_WORDS = 400_000
 ROWS_TOGETHER = 1000
 #: Words up to this length are summed side by side.
 TOGETHER = 40
-LETTER = re.compile(r"[^\W\d_]")
+#: Letters of any script: Unicode categories L*, and no digits, fractions or numerals.
+LETTER = regex.compile(r"\p{L}")
 MARK = "▁"
 BASE, MIX = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
 POWERS = np.array([pow(int(BASE), n, 1 << 64) for n in range(256)], np.uint64)
@@ -52,47 +55,50 @@ def pieces(path: str):
     return sp, table, bytes_, max(map(len, table)), Lookup(table)
 
 
-def piece_counts(docs: DataFrame, path: str) -> DataFrame:
-    """(lang, piece, n): how often the vocabulary's own segmentation of the words uses each piece. Partial sums leave each task, of at most one row for a language and piece."""
+def piece_counts(docs: DataFrame, path: str, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """(lang, piece, n): how often the vocabulary's own segmentation of the words uses each piece. Partial sums leave each task."""
 
     def count(frames):
         sp = pieces(path)[0]
         total: dict[str, np.ndarray] = {}
+
+        def sums():
+            for lang, n in total.items():
+                at = np.flatnonzero(n)
+                yield pd.DataFrame({"lang": lang, "piece": at, "n": n[at].astype(np.int64)})
+            total.clear()
+
         for pdf in frames:
             for lang, texts in pdf.groupby("lang")["text"]:
                 words = Counter()
                 for t in texts:
                     words.update(split_words(t))
-                keys = [w for w in words if len(w) <= 4096]
-                ids = sp.encode(keys, num_threads=1) if keys else []
-                long = [w for w in words if len(w) > 4096]
-                for w in long:  # in pieces of bounded length, all of them
-                    for i in range(0, len(w), 4096):
-                        keys.append(w)
-                        ids.append(sp.encode(w[i : i + 4096], num_threads=1))
-                if not keys:
+                if not words:
                     continue
+                ids = sp.encode(list(words), num_threads=1)
                 flat = np.fromiter((i for x in ids for i in x), np.int64)
-                weight = np.repeat(np.fromiter((words[k] for k in keys), np.float64, len(keys)), np.fromiter(map(len, ids), np.int64, len(ids)))
+                weight = np.repeat(np.fromiter(words.values(), np.float64, len(words)), np.fromiter(map(len, ids), np.int64, len(ids)))
                 n = np.bincount(flat, weight, sp.get_piece_size())
                 total[lang] = total[lang] + n if lang in total else n
-        for lang, n in total.items():
-            at = np.flatnonzero(n)
-            yield pd.DataFrame({"lang": lang, "piece": at, "n": n[at].astype(np.int64)})
+                if len(total) > MAX_LANGUAGES:
+                    yield from sums()
+        yield from sums()
 
-    parts = docs.select("lang", "text").where("lang IS NOT NULL AND text IS NOT NULL").mapInPandas(count, "lang string, piece int, n long")
-    return parts.groupBy("lang", "piece").agg(F.sum("n").alias("n"))
+    rows = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
+    return rows.mapInPandas(count, "lang string, piece int, n long").groupBy("lang", "piece").agg(F.sum("n").alias("n"))
 
 
-def train(docs: DataFrame, path: str = VOCABULARY) -> tuple[list[str], np.ndarray]:
-    """The languages and log probabilities (piece, language). The size is bounded by the vocabulary and MAX_LANGUAGES, which is checked."""
-    counts = piece_counts(docs, path).toPandas()
-    langs = sorted(counts["lang"].unique())
+def train(docs: DataFrame, path: str = VOCABULARY, text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray]:
+    """The languages and log probabilities (piece, language). The size is bounded by the vocabulary and MAX_LANGUAGES, which is checked before anything comes to the driver."""
+    counts = store(piece_counts(docs, path, text_col, lang_col), "pieces")
+    langs = sorted(r[0] for r in counts.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect())
     if len(langs) > MAX_LANGUAGES:
-        raise ValueError(f"{len(langs)} languages; at most {MAX_LANGUAGES} are provided for")
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    found = counts.toPandas()
+    release(counts)
     size = pieces(path)[0].get_piece_size()
     n = np.zeros((size, len(langs)))
-    n[counts["piece"], [langs.index(x) for x in counts["lang"]]] = counts["n"]
+    n[found["piece"], [langs.index(x) for x in found["lang"]]] = found["n"]
     n += SMOOTHING
     return langs, np.log(n / n.sum(axis=0))
 
@@ -265,5 +271,6 @@ def identify(docs: DataFrame, path: str = VOCABULARY, id_col: str = "doc_id") ->
 def filter_languages(docs: DataFrame, path: str = VOCABULARY, least_score: float = 0.5, id_col: str = "doc_id") -> DataFrame:
     """The rows whose language can be told: not `und`, and with a posterior of at least `least_score`. All input columns stay as they are."""
     model = train(docs.where(~F.coalesce(held_out(id_col, 3, 1), F.lit(False))), path)
-    judged = predict(docs, model, path, out=("_lang_pred", "_lang_score"))
-    return judged.where((F.col("_lang_pred") != UNDETERMINED) & (F.col("_lang_score") >= least_score)).select(docs.columns)
+    lang, score = free_name(docs, "_lang_pred"), free_name(docs, "_lang_score")
+    judged = predict(docs, model, path, out=(lang, score))
+    return judged.where((F.col(lang) != UNDETERMINED) & (F.col(score) >= least_score)).select(docs.columns)
