@@ -9,7 +9,7 @@ system, so that at every slot each source is less than one block from its target
 
 from __future__ import annotations
 
-
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,10 +42,10 @@ def phases(blocks: dict[str, int], shares: dict[str, int]) -> list[dict]:
     """The schedule as one entry for each phase and source: a phase ends when a source has no block left, and the others' weights fill the line anew."""
     left, used, slot, out = {s: n for s, n in blocks.items() if n}, dict.fromkeys(blocks, 0), 0, []
     while left:
-        own = {s: shares[s] for s in left}
+        own = {s: shares[s] for s in left if shares[s]} or dict.fromkeys(left, 1)
         q = sum(own.values())
-        whole = min(n // own[s] for s, n in left.items())
-        after = {s: n - whole * own[s] for s, n in left.items()}
+        whole = min(left[s] // own[s] for s in own)
+        after = {s: left[s] - whole * own[s] for s in own}
         # a whole period more may end no source; what is left then ends one within the next period
         rest = pfair_slots(own, after) if all(after.values()) else []
         line = pfair_slots(own)
@@ -56,15 +56,16 @@ def phases(blocks: dict[str, int], shares: dict[str, int]) -> list[dict]:
         slot += whole * q + len(rest)
         for s in own:
             used[s] += took[s]
-        left = {s: blocks[s] - used[s] for s in own if blocks[s] > used[s]}
+        left = {s: blocks[s] - used[s] for s in left if blocks[s] > used[s]}
     return out
 
 
 def mix_sources(docs: DataFrame, shares: dict[str, int], block_rows: int = 32, default_share: int = 1, id_col: str = "doc_id", source_col: str = "source", keep: list[str] | None = None) -> DataFrame:
     """Every row of `docs` with its place in the mixture; no row is dropped or repeated.
 
-    shares: integer target weights by source; all sources not named, a null one
-    included, form one class `*` with `default_share`. Within a class rows go in
+    shares: whole target weights by source; all sources not named, a null one
+    included, form one class `*` with `default_share`. Sources of weight 0 follow
+    when all others are used up, with equal weights. Within a class rows go in
     a fixed pseudo-random order of the id and are cut into blocks of `block_rows`.
     While all classes last, each has sent its weight's part of all blocks to
     within less than one block, after every slot; when one is used up, the same
@@ -82,16 +83,17 @@ def mix_sources(docs: DataFrame, shares: dict[str, int], block_rows: int = 32, d
     made = ["mix_class", "block", "release", "deadline", "slot", "position"]
     keep = [c for c in (docs.columns if keep is None else keep) if c not in made]
     shares = {**shares, OTHER: default_share}
+    if any(w < 0 or w != int(w) for w in shares.values()):
+        raise ValueError("shares must be whole numbers of 0 or more")
     named = F.col(source_col).isin(*[s for s in shares if s != OTHER])
-    rows = docs.withColumn("_cls", F.when(F.coalesce(named, F.lit(False)), F.col(source_col)).otherwise(OTHER)).withColumn("_h", F.xxhash64(id_col, F.lit(3)))
-    rows = rows.select(*keep, "_cls", "_h", F.col(id_col).alias("_id"))
+    # the input's columns ride in a struct, where no name can clash
+    row = [F.struct(*(F.col(f"`{c}`") for c in keep)).alias("_row")] if keep else []
+    rows = docs.select(*row, F.when(F.coalesce(named, F.lit(False)), F.col(source_col)).otherwise(OTHER).alias("_cls"), F.xxhash64(id_col, F.lit(3)).alias("_h"), F.col(id_col).alias("_id"))
     counts = {r[0]: r[1] for r in rows.groupBy("_cls").count().collect()}
     blocks = {s: -(-n // block_rows) for s, n in counts.items()}
     plan = phases(blocks, shares)
-    spark = docs.sparkSession
-    schema = "_cls string, _lo long, _hi long, _slot0 long, _q long, _share long, _at array<int>"
-    table = ", ".join(f"('{p['cls']}', {p['lo']}L, {p['hi']}L, {p['slot0']}L, {p['q']}L, {p['share']}L, array({','.join(map(str, p['at']))}))".replace("\\", "\\\\") for p in plan)
-    lookup = spark.sql(f"SELECT * FROM VALUES {table} AS t(_cls, _lo, _hi, _slot0, _q, _share, _at)") if plan else spark.createDataFrame([], schema)
+    schema = pa.schema([("_cls", pa.string()), *((c, pa.int64()) for c in ("_lo", "_hi", "_slot0", "_q", "_share")), ("_at", pa.list_(pa.int32()))])
+    lookup = docs.sparkSession.createDataFrame(pa.Table.from_pylist([{f"_{k}": v for k, v in p.items()} for p in plan], schema))
     rows = number_rows(rows, ["_cls"], "_h", ["_id"], "_nr")
     block = F.floor(F.col("_nr") / block_rows)
     rows = rows.withColumn("block", block.cast("long"))
@@ -112,7 +114,7 @@ def mix_sources(docs: DataFrame, shares: dict[str, int], block_rows: int = 32, d
             j = blocks[s] - 1 - last["lo"]
             at = last["slot0"] + j // last["share"] * last["q"] + last["at"][j % last["share"]]
             place = place - F.when(F.col("slot") > at, block_rows - n % block_rows).otherwise(0)
-    return rows.withColumn("position", place.cast("long")).select(*keep, F.col("_cls").alias("mix_class"), *made[1:])
+    return rows.withColumn("position", place.cast("long")).select(*(["_row.*"] if keep else []), F.col("_cls").alias("mix_class"), *made[1:])
 
 
 def write_order(mixed: DataFrame, partitions: int) -> DataFrame:
