@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import free_name, release, store
+
 WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: By byte: letters A to Z to lower case; ASCII characters that belong to no word to blanks.
 BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -160,7 +162,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     text has no words and no spans; an empty benchmark hits nothing.
     """
     sc = docs.sparkSession.sparkContext
-    windows = benchmark_windows(benchmark, window)
+    windows = store(benchmark_windows(benchmark, window), "windows")
     total = windows.count()
     blocks = max(1, -(-total // block_windows))
     parts = []
@@ -171,6 +173,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
             block = Block(rows, shingle)
             block.set_rarity(shingle_frequencies(docs, sc.broadcast(block), text_col))
         parts.append(_joined(docs, sc.broadcast(block), id_col, text_col))
+    release(windows)
     if blocks == 1:
         return parts[0]
     every = parts[0].withColumn("_first", F.lit(1))
@@ -199,6 +202,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, **kwargs) -> DataFrame:
     id_col = kwargs.get("id_col", "doc_id")
     found = find_contamination(docs, benchmark, **kwargs)
     hit = F.size(F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["start"], s["stop"] - 1)))))
-    bad = found.where((hit > 0) & (20 * hit >= F.col("n_words"))).select(F.col("id").alias("_bad"), F.col("th").alias("_th")).distinct()
+    doc, th = free_name(docs, "_bad"), free_name(docs, "_th")
+    bad = found.where((hit > 0) & (20 * hit >= F.col("n_words"))).select(F.col("id").alias(doc), F.col("th").alias(th)).distinct()
     text_col = kwargs.get("text_col", "text")
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("_bad")) & (F.xxhash64(text_col) == F.col("_th")), "left_anti")
+    return docs.join(bad, F.col(id_col).eqNullSafe(F.col(doc)) & (F.xxhash64(text_col) == F.col(th)), "left_anti")
