@@ -20,10 +20,14 @@ from .common import cut
 WORD = re.compile(r"[^\W_]+|[^\w\s]")
 #: Hashed n-grams (words and word pairs) fall into so many buckets.
 BUCKETS = 1 << 18
-#: Added to each bucket's count in both models, at the target's size: a bucket that either model has hardly seen says nothing.
-SMOOTHING = 20.0
+#: Added to each bucket's count in both models, at the target's size.
+SMOOTHING = 0.2
+#: A bucket counts if the target holds it so many standard deviations more or less often than the raw text lets expect; the noise of all others would drown a few telling words.
+LEAST_Z = 4.0
 #: The target model is fitted on at most so many labelled documents, those with the least hashes; the raw model on all documents.
 FIT_DOCUMENTS = 100_000
+#: Texts that are counted together.
+TOGETHER = 1000
 #: Scores are compared in steps of 2^-20.
 STEP = 1 << 20
 
@@ -52,11 +56,12 @@ def bucket_counts(docs: DataFrame, text_col: str, target_col: str) -> tuple[np.n
     def count(batches):
         raw, target, cache = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64), {}
         for batch in batches:
-            for t, is_target in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                n = np.bincount(ngram_buckets(t, cache), minlength=BUCKETS)
-                raw += n
-                if is_target:
-                    target += n
+            for lo in range(0, batch.num_rows, TOGETHER):  # so that a dense count serves many texts
+                part = batch.slice(lo, TOGETHER)
+                found = [ngram_buckets(t, cache) for t in part.column(0).to_pylist()]
+                raw += np.bincount(np.concatenate(found), minlength=BUCKETS)
+                if wanted := [b for b, is_target in zip(found, part.column(1).to_pylist(), strict=True) if is_target]:
+                    target += np.bincount(np.concatenate(wanted), minlength=BUCKETS)
         at = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(raw[at]), pa.array(target[at])], names=["bucket", "raw", "target"])
 
@@ -68,9 +73,11 @@ def bucket_counts(docs: DataFrame, text_col: str, target_col: str) -> tuple[np.n
 
 
 def log_ratio(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """Log ratio of the models by bucket, the raw counts scaled to the target's number of n-grams."""
+    """Log ratio of the models by bucket, the raw counts scaled to the target's number of n-grams; 0 where the counts differ by chance."""
     scale = target.sum() / max(raw.sum(), 1.0)
-    return np.log(target + SMOOTHING) - np.log(raw * scale + SMOOTHING)
+    expected = raw * scale
+    spread = np.sqrt(expected * (1 - scale))
+    return np.where(np.abs(target - expected) > LEAST_Z * spread, np.log(target + SMOOTHING) - np.log(expected + SMOOTHING), 0.0)
 
 
 def weigh(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", quality_col: str = "quality", toxic_col: str = "toxic", fit_documents: int = FIT_DOCUMENTS) -> DataFrame:

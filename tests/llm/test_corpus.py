@@ -584,3 +584,71 @@ def test_sql_of_queries(spark, data):
     for name, sql in queries.ORACLES.items():
         assert differences(queries.QUERIES[name](spark, data), con, sql) == "", name
     assert duckdb
+
+
+# added in the second round
+
+
+def test_letterless_texts_are_undetermined(spark):
+    for t in ("² ½", "① Ⅷ", "12 345", "_-_", ""):
+        assert not langid.LETTER.search(t)
+    assert langid.LETTER.search("ß") and langid.LETTER.search("字")
+
+
+def test_log_weight_by_brute_force(spark):
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choice(("good", "fine", "clear") if i % 3 else ("bad", "junk", "fine")) for _ in range(40))) for i in range(60)]
+    rows += [(100, None), (101, "")]
+    marks = [(i, int(i % 3 > 0), 0) for i in range(0, 60, 2)] + [(1, 1, 1)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string").repartition(3), spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r.log_weight for r in resampling.weigh(docs, labels).collect()}
+    bags = {i: collections.Counter(resampling.ngram_buckets(t, {}).tolist()) for i, t in rows}
+    good = {i for i, q, t in marks if q == 1 and t == 0}
+    raw, target = sum(bags.values(), collections.Counter()), sum((bags[i] for i in good), collections.Counter())
+    scale = target.total() / raw.total()
+
+    def ratio(b):
+        e = raw[b] * scale
+        if abs(target[b] - e) <= resampling.LEAST_Z * (e * (1 - scale)) ** 0.5:
+            return 0.0
+        return np.log(target[b] + resampling.SMOOTHING) - np.log(e + resampling.SMOOTHING)
+
+    assert len(got) == len(rows) and any(got.values())
+    for i, bag in bags.items():
+        assert got[i] == pytest.approx(sum(n * ratio(b) for b, n in bag.items()), abs=1e-9)
+
+
+def test_mix_takes_quotes_zero_shares_and_clashing_names(spark):
+    rows = [(i, "o'brien" if i % 2 else "b\\", "x", i) for i in range(200)] + [(i, "late", "y", i) for i in range(200, 240)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, _cls string, _h long")
+    got = mixing.mix_sources(docs, {"o'brien": 3, "b\\": 1, "late": 0}, block_rows=4).orderBy("position").collect()
+    assert [r.position for r in got] == list(range(240)) and {(r.doc_id, r.source, r._cls, r._h) for r in got} == set(rows)
+    assert {r.source for r in got[-40:]} == {"late"}
+    with pytest.raises(ValueError):
+        mixing.mix_sources(docs, {"late": -1})
+
+
+def test_rest_pairs_lose_no_link(spark):
+    """Exact pass alone: every text its own root, so that all similar pairs must be met."""
+    rng = random.Random(9)
+    base = [str(rng.randrange(10**6)) for _ in range(60)]
+    texts = []
+    for _ in range(80):
+        w = list(base)
+        for _ in range(rng.randint(0, 2)):
+            w[rng.randrange(60)] = str(rng.randrange(10**6))
+        texts.append(" ".join(w[: rng.choice((60, 60, 50))] + [str(rng.randrange(10**6)) for _ in range(rng.choice((0, 0, 9)))]))
+    sets = [dedup.shingle_set(h) for h in dedup.word_hashes(texts, {})]
+    rows = [(bytes([i]) * 16, g.tolist()) for i, g in enumerate(sets)]
+    frame = spark.createDataFrame(rows, "node binary, grams array<long>").repartition(3)
+    rest = frame.select("node", F.col("node").alias("root"))
+    met = {tuple(sorted((r.a[0], r.b[0]))) for r in dedup.rest_pairs(rest, frame).collect()}
+    want = {(j, i) for i in range(80) for j in range(i) if dedup.similar(sets[i], sets[j])}
+    assert want <= met and len(met) < 80 * 79 / 2
+    assert {tuple(sorted((r.a[0], r.b[0]))) for r in dedup.verify(dedup.rest_pairs(rest, frame), frame).collect()} == want
+
+
+def test_shingle_set_keeps_repeats():
+    once, twice = dedup.word_hashes(["a b c d e f g h", "a b c d e f g h a b c d e f g h"], {})
+    assert len(dedup.shingle_set(once)) == 4 and len(dedup.shingle_set(twice)) == 12
+    assert len(np.intersect1d(dedup.shingle_set(once), dedup.shingle_set(twice))) == 4
