@@ -27,6 +27,11 @@ def index_key(path: Column) -> Column:
     return leading_digits(F.substring_index(F.substring_index(F.substring_index(path, "/", -1), ".", 1), "_", 1))
 
 
+def is_index_sheet(file: Column) -> Column:
+    """Whether a file is an index sheet by its name: it holds `IND` or `_1.`, or is shorter than 12 characters; never an unsure one."""
+    return (file.contains("IND") | file.contains("_1.") | (F.length(file) < 12)) & ~file.contains("unsure")
+
+
 def all_digits(s: Column) -> Column:
     return F.nullif(F.regexp_replace(s, "[^0-9]", ""), F.lit(""))
 

@@ -68,7 +68,7 @@ def a08_enlarged_bounds(spark, sf):
     return det(spark, sf).groupBy("grp").agg(R6(lo("x")).alias("x1"), R6(hi("x")).alias("x2"), R6(lo("y")).alias("y1"), R6(hi("y")).alias("y2"))
 
 
-@query("""WITH n AS (SELECT a.grp, a.id, sqrt((b.x-a.x)*(b.x-a.x)+(b.y-a.y)*(b.y-a.y)) AS d, CASE WHEN atan2(b.y-a.y, b.x-a.x) < 0 THEN degrees(atan2(b.y-a.y, b.x-a.x)) + 360 ELSE degrees(atan2(b.y-a.y, b.x-a.x)) END AS az FROM det a JOIN det b ON a.grp = b.grp AND abs(a.x-b.x) <= 20 AND abs(a.y-b.y) <= 20 WHERE (b.x-a.x)*(b.x-a.x)+(b.y-a.y)*(b.y-a.y) <= 400) SELECT grp, id, round(coalesce(1-avg(CASE WHEN az BETWEEN -45 AND 45 THEN d END)/20, 2), 5) AS b0, round(coalesce(1-avg(CASE WHEN az BETWEEN 45 AND 135 THEN d END)/20, 2), 5) AS b1, round(coalesce(1-avg(CASE WHEN az BETWEEN 135 AND 225 THEN d END)/20, 2), 5) AS b2, round(coalesce(1-avg(CASE WHEN az BETWEEN 225 AND 315 THEN d END)/20, 2), 5) AS b3 FROM n GROUP BY grp, id""", "det")
+@query("""WITH n AS (SELECT a.grp, a.id, sqrt((b.x-a.x)*(b.x-a.x)+(b.y-a.y)*(b.y-a.y)) AS d, round(CASE WHEN atan2(b.y-a.y, b.x-a.x) < 0 THEN degrees(atan2(b.y-a.y, b.x-a.x)) + 360 ELSE degrees(atan2(b.y-a.y, b.x-a.x)) END, 9) AS az FROM det a JOIN det b ON a.grp = b.grp AND abs(a.x-b.x) <= 20 AND abs(a.y-b.y) <= 20 WHERE (b.x-a.x)*(b.x-a.x)+(b.y-a.y)*(b.y-a.y) <= 400) SELECT grp, id, round(coalesce(1-avg(CASE WHEN az BETWEEN -45 AND 45 THEN d END)/20, 2), 5) AS b0, round(coalesce(1-avg(CASE WHEN az BETWEEN 45 AND 135 THEN d END)/20, 2), 5) AS b1, round(coalesce(1-avg(CASE WHEN az BETWEEN 135 AND 225 THEN d END)/20, 2), 5) AS b2, round(coalesce(1-avg(CASE WHEN az BETWEEN 225 AND 315 THEN d END)/20, 2), 5) AS b3 FROM n GROUP BY grp, id""", "det")
 def a10_descriptors(spark, sf):
     d = S.descriptors(det(spark, sf), 20.0)
     return d.select("grp", "id", *[F.round(F.col("descriptor")[i], 5).alias(f"b{i}") for i in range(4)])

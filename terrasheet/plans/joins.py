@@ -9,15 +9,18 @@ from ..functions import geometry as G
 from ..functions import text as X
 from ..operators import relational as J
 from ..operators import spatial as S
+from ..operators import search as V
 from .registry import boxes, det, pairs, query, ref, table, tiles
 
 R6 = lambda c: F.round(c, 6)
 
 
-@query("""SELECT id, name FROM tiles WHERE (contains(name, 'IND') OR contains(name || '_1.tif', '_1.') OR length(name) < 12) AND NOT contains(name, 'unsure') AND NOT contains('tif', 'w')""", "tiles")
+@query("""WITH f AS (SELECT id, CASE WHEN id % 11 = 0 THEN '48201CIND0_' || num WHEN id % 7 = 0 THEN name || '_1' WHEN id % 5 = 0 THEN CAST(num AS VARCHAR) WHEN id % 13 = 0 THEN 'unsure' || num || '_1' ELSE name END || '.tif' AS file FROM tiles) SELECT id, file FROM f WHERE (contains(file, 'IND') OR contains(file, '_1.') OR length(file) < 12) AND NOT contains(file, 'unsure')""", "tiles")
 def p01_index_sheets(spark, sf):
-    index = F.contains("name", F.lit("IND")) | F.contains(F.concat("name", F.lit("_1.tif")), F.lit("_1.")) | (F.length("name") < 12)
-    return tiles(spark, sf).where(index & ~F.contains("name", F.lit("unsure")) & ~F.contains(F.lit("tif"), F.lit("w"))).select("id", "name")
+    num = F.col("num").cast("string")
+    name = F.when(F.col("id") % 11 == 0, F.concat(F.lit("48201CIND0_"), num)).when(F.col("id") % 7 == 0, F.concat("name", F.lit("_1"))).when(F.col("id") % 5 == 0, num).when(F.col("id") % 13 == 0, F.concat(F.lit("unsure"), num, F.lit("_1"))).otherwise(F.col("name"))
+    files = tiles(spark, sf).select("id", F.concat(name, F.lit(".tif")).alias("file"))
+    return files.where(X.is_index_sheet(F.col("file")))
 
 
 @query("""SELECT image, seq, label FROM boxes WHERE x1 BETWEEN 10 AND 30 AND y1 BETWEEN 2 AND 8 AND x2 - x1 > 3""", "boxes")
@@ -38,9 +41,9 @@ def j01_id_lookup(spark, sf):
     return o.select(F.col("o_orderkey").alias("id"), F.when(F.col("o_custkey") >= 900, F.col("g")).otherwise(F.col("o_custkey")).alias("geoid"))
 
 
-@query("""WITH k AS (SELECT c_custkey AS k, c_name AS v FROM customer WHERE c_custkey < 100 UNION ALL SELECT s_suppkey + 100000, s_name FROM supplier) SELECT o_orderkey AS id, v AS name FROM orders LEFT JOIN k ON k = CASE WHEN o_orderkey%2=0 THEN o_custkey ELSE o_custkey + 100000 END""")
+@query("""WITH k AS (SELECT c_custkey AS k, c_name AS v FROM customer UNION ALL SELECT s_suppkey + 100000, s_name FROM supplier) SELECT o_orderkey AS id, v AS name FROM orders LEFT JOIN k ON k = CASE WHEN o_orderkey%2=0 THEN o_custkey ELSE o_custkey + 100000 END""")
 def j02_two_table_lookup(spark, sf):
-    c = table(spark, sf, "customer").where("c_custkey < 100").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("v"))
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("v"))
     s = table(spark, sf, "supplier").select((F.col("s_suppkey") + 100000).alias("k"), F.col("s_name").alias("v"))
     o = table(spark, sf, "orders").withColumn("g", F.when(F.col("o_orderkey") % 2 == 0, F.col("o_custkey")).otherwise(F.col("o_custkey") + 100000))
     return o.join(c.unionByName(s), F.col("g") == F.col("k"), "left").select(F.col("o_orderkey").alias("id"), F.col("v").alias("name"))
@@ -63,10 +66,10 @@ def j04_fuzzy_best(spark, sf):
 
 @query()
 def j07_fuzzy_catalogue(spark, sf):
-    """Names of suppliers against the customers of their block by Indel ratio, in Arrow batches; a score above 60 counts."""
-    s = table(spark, sf, "supplier").select(F.col("s_nationkey").alias("block"), F.col("s_name").alias("name"))
-    c = table(spark, sf, "customer").select(F.col("c_nationkey").alias("block"), F.col("c_name").alias("best"), F.col("c_custkey").alias("best_id"))
-    return J.best_match(s, c, "block", "name", "best", X.fuzzy_ratio("name", "best"), "best_id").where("score > 60")
+    """Misread tile names against all names of the catalogue by Indel ratio, 90 or more."""
+    cat = tiles(spark, sf).select("name").distinct()
+    odd = F.when(F.length("name") % 2 == 0, F.regexp_replace("name", "0$", "")).otherwise(F.concat(F.substring("name", 1, 5), F.lit("Q"), F.substring("name", 7, 20)))
+    return V.fuzzy_catalogue(cat.select(odd.alias("name")), cat, "name", 90.0)
 
 
 @query("""SELECT o_orderkey AS id, c_name AS name, s_name AS supplier FROM orders JOIN customer ON o_custkey = c_custkey LEFT JOIN supplier ON c_nationkey = s_nationkey AND o_orderkey % 10 = s_suppkey % 10""")
@@ -76,32 +79,34 @@ def j05_multi_key_joins(spark, sf):
     return j.select(F.col("o_orderkey").alias("id"), F.col("c_name").alias("name"), F.col("s_name").alias("supplier"))
 
 
-@query("""WITH cat AS (SELECT name, min(id) AS first FROM tiles WHERE id % 2 = 0 GROUP BY name), d AS (SELECT regexp_replace(name, '[^0-9]', '', 'g') AS dk, min(id) AS first FROM tiles WHERE id % 2 = 0 GROUP BY 1) SELECT t.id, coalesce(cat.first, d.first) AS hit FROM tiles t LEFT JOIN cat ON cat.name = t.name LEFT JOIN d ON d.dk = regexp_replace(t.name, '[^0-9]', '', 'g')""", "tiles")
+@query("""WITH t AS (SELECT id, CASE WHEN id % 5 = 0 THEN 'x' || id WHEN id % 2 = 0 THEN name || '?' ELSE name END AS name FROM tiles), cat AS (SELECT name, min(id) AS first FROM tiles GROUP BY name), d AS (SELECT regexp_replace(name, '[^0-9]', '', 'g') AS dk, min(id) AS first FROM tiles GROUP BY 1) SELECT t.id, coalesce(cat.first, d.first) AS hit FROM t LEFT JOIN cat ON cat.name = t.name LEFT JOIN d ON d.dk = regexp_replace(t.name, '[^0-9]', '', 'g')""", "tiles")
 def j08_digits_fallback(spark, sf):
-    t = tiles(spark, sf)
-    exact = t.where("id % 2 = 0").groupBy("name").agg(F.min("id").alias("first"))
-    digits = t.where("id % 2 = 0").groupBy(F.regexp_replace("name", "[^0-9]", "").alias("name")).agg(F.min("id").alias("first"))
+    """Every second name has one character too many, every fifth isn't in the catalogue."""
+    cat = tiles(spark, sf)
+    t = cat.select("id", F.when(F.col("id") % 5 == 0, F.concat(F.lit("x"), F.col("id").cast("string"))).when(F.col("id") % 2 == 0, F.concat("name", F.lit("?"))).otherwise(F.col("name")).alias("name"))
+    exact = cat.groupBy("name").agg(F.min("id").alias("first"))
+    digits = cat.groupBy(F.regexp_replace("name", "[^0-9]", "").alias("name")).agg(F.min("id").alias("first"))
     out = J.cascade_lookup(t, exact, [F.col("name")], "name", "first", "a")
     out = J.cascade_lookup(out, digits, [F.regexp_replace("name", "[^0-9]", "")], "name", "first", "b")
     return out.select("id", F.coalesce("a", "b").alias("hit"))
 
 
-@query("""WITH e AS (SELECT num AS n2, d AS d2 FROM tiles WHERE id % 2 = 0), c AS (SELECT id, d, d2, row_number() OVER (PARTITION BY id ORDER BY abs(date_diff('day', d2, d)), d2) AS rn FROM tiles LEFT JOIN e ON num = n2) SELECT id, CASE WHEN abs(date_diff('day', d2, d)) <= 365 THEN d2 END AS nearest FROM c WHERE rn = 1""", "tiles")
+@query("""WITH l AS (SELECT id, num, CAST(d + CAST(id % 900 AS INTEGER) AS DATE) AS d FROM tiles), e AS (SELECT num AS n2, d AS d2 FROM tiles), c AS (SELECT id, d, d2, row_number() OVER (PARTITION BY id ORDER BY abs(date_diff('day', d2, d)), d2) AS rn FROM l LEFT JOIN e ON num = n2) SELECT id, CASE WHEN abs(date_diff('day', d2, d)) <= 365 THEN d2 END AS nearest FROM c WHERE rn = 1""", "tiles")
 def j09_nearest_date(spark, sf):
     t = tiles(spark, sf)
-    dated = t.where("id % 2 = 0").select("num", F.col("d").alias("other"))
-    return J.nearest_date(t, dated, "num", "d", "other", "nearest", 365).select("id", "nearest")
+    shifted = t.withColumn("d", F.date_add("d", (F.col("id") % 900).cast("int")))
+    return J.nearest_date(shifted, t.select("num", F.col("d").alias("other")), "num", "d", "other", "nearest", 365).select("id", "nearest")
 
 
 @query("""WITH c AS (SELECT det.id, ref.id AS r_id, sqrt((det.x-ref.x)*(det.x-ref.x)+(det.y-ref.y)*(det.y-ref.y)) AS dist FROM det, ref), b AS (SELECT id, min(dist) AS dist FROM c GROUP BY id) SELECT id, round(dist, 6) AS dist FROM b""", "det ref")
 def j10_nearest_point(spark, sf):
-    return S.nearest_join(det(spark, sf), ref(spark, sf), 30).select("id", R6(F.col("dist")).alias("dist"))
+    return S.nearest_join(det(spark, sf), ref(spark, sf)).select("id", R6(F.col("dist")).alias("dist"))
 
 
 @query("""WITH c AS (SELECT det.id, det.grp, sqrt((det.x-ref.x)*(det.x-ref.x)+(det.y-ref.y)*(det.y-ref.y)) AS dist FROM det, ref), b AS (SELECT id, grp, min(dist) AS dist FROM c GROUP BY id, grp) SELECT grp, count(*) AS n, round(sqrt(avg(dist*dist)), 6) AS rms FROM b WHERE dist < 15 GROUP BY grp""", "det ref")
 def j11_nearest_within(spark, sf):
     d = det(spark, sf)
-    near = S.nearest_join(d, ref(spark, sf), 30).where("dist < 15").join(d.select("id", "grp"), "id")
+    near = S.nearest_join(d, ref(spark, sf)).where("dist < 15").join(d.select("id", "grp"), "id")
     return near.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), R6(F.sqrt(F.avg(F.col("dist") * F.col("dist")))).alias("rms"))
 
 
@@ -118,19 +123,16 @@ def j13_ratio_test(spark, sf):
     return two.where(a["off"] <= 0.8 * b["off"]).select("id", a["r_id"].alias("r_id"), R6(a["off"]).alias("d1"), R6(b["off"]).alias("d2"))
 
 
-@query("""WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), c AS (SELECT a.vec_id, b.vec_id AS other, 1 - list_dot_product(a.e, b.e)/sqrt(list_dot_product(a.e, a.e)*list_dot_product(b.e, b.e)) AS d FROM v a JOIN v b ON b.vec_id % 20 = 1 AND a.vec_id % 20 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, other) AS rn FROM c) SELECT vec_id AS id, other, round(d, 5) AS dist FROM r WHERE rn <= 2""")
+@query("""WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), c AS (SELECT a.vec_id, b.vec_id AS other, 1 - list_dot_product(a.e, b.e)/sqrt(list_dot_product(a.e, a.e)*list_dot_product(b.e, b.e)) AS d FROM v a JOIN v b ON a.vec_id <> b.vec_id AND a.vec_id % 20 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(d, 9), other) AS rn FROM c) SELECT vec_id AS id, other, round(d, 5) AS dist FROM r WHERE rn <= 2""")
 def j14_descriptor_top2(spark, sf):
-    """A stated set of descriptors (one in twenty) against a stated reference set, in one block of bounded size."""
-    e = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e")).withColumn("k", F.lit(1))
-    q, r = e.where("vec_id % 20 = 0"), e.where("vec_id % 20 = 1").select(F.col("vec_id").alias("other"), F.col("e").alias("f"), "k")
-    c = q.join(r, "k").withColumn("d", G.cosine_distance(F.col("e"), F.col("f")))
-    top = c.withColumn("rn", F.row_number().over(Window.partitionBy("vec_id").orderBy("d", "other"))).where("rn <= 2")
-    return top.select(F.col("vec_id").alias("id"), "other", F.round("d", 5).alias("dist"))
+    """One descriptor in twenty is searched for in all others."""
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vector"))
+    return V.nearest_vectors(e.where("id % 20 = 0"), e, 2).select("id", "other", F.round("dist", 5).alias("dist"))
 
 
-@query("""SELECT r.id, count(b.image) AS n FROM ref r LEFT JOIN (SELECT image, x1*15 AS x1, x2*15 AS x2, y1*20 AS y1, y2*20 AS y2 FROM boxes WHERE image % 50 = 0) b ON r.x BETWEEN b.x1 AND b.x2 AND r.y BETWEEN b.y1 AND b.y2 GROUP BY r.id""", "ref boxes")
+@query("""SELECT r.id, count(b.image) AS n FROM ref r LEFT JOIN (SELECT image, x1*15 AS x1, x2*15 AS x2, y1*20 AS y1, y2*20 AS y2 FROM boxes) b ON r.x BETWEEN b.x1 AND b.x2 AND r.y BETWEEN b.y1 AND b.y2 GROUP BY r.id""", "ref boxes")
 def j16_points_in_boxes(spark, sf):
-    b = boxes(spark, sf).where("image % 50 = 0").select((F.col("x1") * 15).alias("x1"), (F.col("x2") * 15).alias("x2"), (F.col("y1") * 20).alias("y1"), (F.col("y2") * 20).alias("y2"))
+    b = boxes(spark, sf).select((F.col("x1") * 15).alias("x1"), (F.col("x2") * 15).alias("x2"), (F.col("y1") * 20).alias("y1"), (F.col("y2") * 20).alias("y2"))
     side = 50.0
     span = lambda lo, hi: F.explode(F.sequence(S.cell(F.col(lo), side), S.cell(F.col(hi), side)))
     b = b.withColumn("cx", span("x1", "x2")).withColumn("cy", span("y1", "y2"))

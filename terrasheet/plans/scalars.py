@@ -150,9 +150,10 @@ def m29_sectors(spark, sf):
 
 @query("""SELECT vec_id AS id, round(1 - list_dot_product(e, v) / sqrt(list_dot_product(e, e) * list_dot_product(v, v)), 5) AS dist FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), (SELECT CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id = 0)""")
 def m31_cosine_distance(spark, sf):
+    """Distances to one vector, which goes into the plan as a constant."""
     e = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
-    one = e.where("vec_id = 0").select(F.col("e").alias("v"), F.lit(1).alias("k"))
-    return e.withColumn("k", F.lit(1)).join(one, "k").select(F.col("vec_id").alias("id"), F.round(G.cosine_distance(F.col("e"), F.col("v")), 5).alias("dist"))
+    one = e.where("vec_id = 0").first()
+    return e.select(F.col("vec_id").alias("id"), F.round(G.cosine_distance(F.col("e"), F.array(*map(F.lit, one["e"]))), 5).alias("dist"))
 
 
 @query("""SELECT grp, id, round(degrees(atan2(ty-y, tx-x)), 2) AS angle, round(sqrt((tx-x)*(tx-x)+(ty-y)*(ty-y)), 6) AS length FROM pairs""", "pairs")
