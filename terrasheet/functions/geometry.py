@@ -113,3 +113,18 @@ def steps_along(length: Column, step: float, end: bool) -> Column:
     """Distances 0, step, 2 step, ... along a line; with `end`, one on its whole multiple too."""
     n = F.floor(length / step).cast("int") if end else F.ceil(F.floor(length) / step).cast("int") - 1
     return F.when(n >= 0, F.transform(F.sequence(F.lit(0), n), lambda i: i * F.lit(float(step)))).otherwise(F.array().cast("array<double>"))
+
+
+def polygon(b: dict) -> Column:
+    """A box as a closed ring of five points, from its first corner; null if it is empty."""
+    at = lambda x, y: F.struct(b[x].alias("x"), b[y].alias("y"))
+    return F.when((b["x2"] > b["x1"]) & (b["y2"] > b["y1"]), F.array(at("x1", "y1"), at("x2", "y1"), at("x2", "y2"), at("x1", "y2"), at("x1", "y1")))
+
+
+def to_matrix(t: Column) -> Column:
+    """An affine struct as the nine numbers of a 3 x 3 matrix, by rows."""
+    return F.array(*[t[k] for k in "abcdef"], *map(F.lit, (0.0, 0.0, 1.0)))
+
+
+def from_matrix(m: Column) -> Column:
+    return affine(*[F.get(m, F.lit(i)) for i in range(6)])

@@ -37,6 +37,26 @@ def world_file_text(t: Column) -> Column:
     return F.concat_ws("\n", *[t[k].cast("string") for k in "adbecf"])
 
 
+def write_world_files(sheets: DataFrame, path: str) -> None:
+    """One world file for each row of sheets (name, t: an affine struct), named by `name`, in the folder; a file of this name is written anew. Names must be unique."""
+
+    def write(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+
+        where, root = fs.FileSystem.from_uri(path) if ":" in path.split("/")[0] else (fs.LocalFileSystem(), path)
+        where.create_dir(root, recursive=True)
+        n = 0
+        for batch in batches:
+            for name, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                with where.open_output_stream(f"{root}/{name}", compression=None) as f:
+                    f.write(text.encode())
+                n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+    sheets.select("name", world_file_text(F.col("t")).alias("text")).mapInArrow(write, "n long").agg(F.sum("n")).collect()
+
+
 def parse_yolo(line: Column) -> list[Column]:
     """class, xc, yc, w, h of a label line."""
     p = F.split(F.trim(line), r"\s+")
