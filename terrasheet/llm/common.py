@@ -54,13 +54,17 @@ def store(df: DataFrame, kind: str) -> DataFrame:
 
 
 def write(df: DataFrame, path: str, *by: str) -> None:
-    conf, name = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = conf.get(name, None)
-    conf.set(name, "true")
+    """Writes Parquet; with `by`, a column of few values, a file of each is open at a time, so that rows needn't be sorted."""
+    conf = df.sparkSession.conf
+    own = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.maxConcurrentOutputFileWriters": "4"}
+    before = {k: conf.get(k, None) for k in own}
     try:
+        for k, v in own.items():
+            conf.set(k, v)
         df.write.partitionBy(*by).parquet(path)
     finally:
-        conf.unset(name) if before is None else conf.set(name, before)
+        for k, v in before.items():
+            conf.unset(k) if v is None else conf.set(k, v)
 
 
 def stored(spark: SparkSession, path: str, schema) -> DataFrame:

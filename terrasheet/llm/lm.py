@@ -40,6 +40,9 @@ DELTA = 0.1
 PRIOR, LAMBDA = 20.0, 0.9
 TAIL, END = CLASSES, CLASSES + 1
 CODES = CLASSES + 2
+#: A neighbour's code takes SHIFT bits of its four bytes, its count at most MOST the others.
+SHIFT = (2 * CODES - 1).bit_length()
+MOST = (1 << 31 - SHIFT) - 1
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -192,7 +195,7 @@ def _encode(texts: list, vocabulary: dict[bytes, int]) -> tuple[np.ndarray, np.n
 
 
 def _contexts(ids: np.ndarray, train: np.ndarray, code: np.ndarray, tail: np.ndarray) -> dict[str, pa.Array]:
-    """By word number: its count in training texts and, for `tail` words, the codes of its neighbours (next words' above CODES) with counts. The last of `code` is END."""
+    """By word number: its count in training texts and, for `tail` words, its neighbours as four bytes each: below the code (next words' above CODES), above it how often. The last of `code` is END."""
     words = len(code) - 1
     n = np.bincount(ids[train & (ids >= 0)], minlength=words)
     before, after = np.concatenate([[-1], ids[:-1]]), np.concatenate([ids[1:], [-1]])
@@ -200,19 +203,23 @@ def _contexts(ids: np.ndarray, train: np.ndarray, code: np.ndarray, tail: np.nda
     use[use] = tail[ids[use]]
     key = np.concatenate([ids[use] * (2 * CODES) + code[before[use]], ids[use] * (2 * CODES) + CODES + code[after[use]]])
     key, times = np.unique(key, return_counts=True)
-    offsets = pa.array(np.searchsorted(key, np.arange(words + 1) * (2 * CODES)).astype(np.int32))
-    return {
-        "n": pa.array(n.astype(np.int64)),
-        "codes": pa.ListArray.from_arrays(offsets, pa.array((key % (2 * CODES)).astype(np.int16))),
-        "counts": pa.ListArray.from_arrays(offsets, pa.array(times.astype(np.int32))),
-    }
+    parts = -(-times // MOST)  # a count beyond MOST is told in several parts
+    if (parts > 1).any():
+        last = np.cumsum(parts) - 1
+        share = np.full(parts.sum(), MOST)
+        share[last] = times - (parts - 1) * MOST
+        key, times = np.repeat(key, parts), share
+    offsets = pa.array((4 * np.searchsorted(key, np.arange(words + 1) * (2 * CODES))).astype(np.int32))
+    packed = (key % (2 * CODES) | times << SHIFT).astype(np.int32)
+    context = pa.Array.from_buffers(pa.binary(), words, [None, offsets.buffers()[1], pa.py_buffer(packed.tobytes())])
+    return {"n": pa.array(n.astype(np.int64)), "context": context}
 
 
-WORD_ROWS = "chunk int, at int, word binary, n long, codes array<short>, counts array<int>"
+WORD_ROWS = "chunk int, at int, word binary, n long, context binary"
 
 
 def encode_chunks(docs: DataFrame, core, kind: str) -> DataFrame:
-    """Rows of two kinds: (chunk, at, word, n, codes, counts) for each distinct word of a chunk, its number there being `at`, with _contexts by the core's classes; (chunk, id, held_out, ids) for each text, as word numbers with -1 for its end."""
+    """Rows of two kinds: (chunk, at, word, n, context) for each distinct word of a chunk, its number there being `at`, with _contexts by the core's classes; (chunk, id, held_out, ids) for each text, as word numbers with -1 for its end."""
 
     def encode(table: pa.Table) -> pa.Table:
         own_classes = core.value
@@ -296,10 +303,11 @@ def assign(rows: DataFrame, core, log_t) -> DataFrame:
             word = batch.column("word")
             names = word.to_pylist()
             where, n = batch.column("chunk").to_numpy().astype(np.int64) << 32 | batch.column("at").to_numpy(), batch.column("n").to_numpy()
-            lists = batch.column("codes")
-            off = lists.offsets.to_numpy()
-            codes = lists.values.to_numpy()[off[0] : off[-1]] if len(lists.values) else np.empty(0, np.int64)
-            counts = batch.column("counts").values.to_numpy()[off[0] : off[-1]] if len(lists.values) else np.empty(0, np.int64)
+            lists = batch.column("context")
+            _, ends, data = lists.buffers()
+            off = np.frombuffer(ends, np.int32)[lists.offset : lists.offset + len(lists) + 1] // 4
+            packed = np.frombuffer(data, np.int32, off[-1])[off[0] :] if data is not None and len(lists) else np.empty(0, np.int32)
+            codes, counts = packed & (1 << SHIFT) - 1, packed >> SHIFT
             start = np.flatnonzero(np.concatenate([[True], np.array(names[1:], object) != np.array(names[:-1], object)])) if len(names) else np.empty(0, np.int64)
             which = np.zeros(len(names), np.int64)
             which[start[1:]] = 1
@@ -445,9 +453,10 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     log_t = sc.broadcast(log_t)
     reply = store(assign(words, own, log_t), "words")
     delete(docs.sparkSession, f"{path}/kind=word")
-    for _ in range(TAIL_ROUNDS):
+    for r in range(TAIL_ROUNDS):
         found = word_rows(encoded, reply.where("chunk >= 0").select("chunk", "at", "word", "cls"), own)
-        reply, old = store(assign(found, own, log_t), "words"), reply
+        answers = assign(found, own, log_t)
+        reply, old = store(answers.drop("word") if r == TAIL_ROUNDS - 1 else answers, "words"), reply
         release(old)
     sums = [(r[0], r[1], r[2]) for r in reply.where("chunk = -1").groupBy("cls", "to").agg(F.sum("c")).collect()]
     reply = reply.where("chunk >= 0").select("chunk", "at", "c", "cls")
