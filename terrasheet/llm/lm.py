@@ -22,16 +22,17 @@ count and class.
 from __future__ import annotations
 
 from collections import Counter
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, delete, new_dir, release, store, stored, write
 
-LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
+IN_WORD = np.array([c != 32 and not 9 <= c <= 13 for c in range(256)])
 CORE, CLASSES, ROUNDS, TAIL_ROUNDS = 4096, 48, 8, 1
 #: Bytes of text in a chunk, about.
 CHUNK_BYTES = 16 << 20
@@ -45,42 +46,77 @@ SHIFT = (2 * CODES - 1).bit_length()
 MOST = (1 << 31 - SHIFT) - 1
 
 
-def tokens(text: str | None) -> list[bytes]:
-    """Words between the blanks tab to carriage return and space, A to Z in lower case, as UTF-8."""
-    return text.encode("utf-8", "surrogatepass").translate(LOWER).split() if text else []
+def split_words(texts) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts in a row and how many each text has: what lies between the blanks tab to carriage return and space, A to Z in lower case, as UTF-8. A null text has none.
+
+    Works on the bytes of all texts at once; no word becomes a Python object.
+    """
+    if isinstance(texts, pa.ChunkedArray):
+        texts = pa.concat_arrays([c.cast(pa.large_binary()) for c in texts.chunks]) if texts.num_chunks else pa.array([], pa.large_binary())
+    texts = pc.fill_null(texts.cast(pa.large_binary()), b"")
+    _, ends, data = texts.buffers()
+    if data is None or not len(texts):
+        return pa.array([], pa.large_binary()), np.zeros(len(texts), np.int64)
+    off = np.frombuffer(ends, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    raw = np.frombuffer(data, np.uint8)[off[0] : off[-1]]
+    off = off - off[0]
+    inside = IN_WORD[raw]
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1]
+    last[:-1] &= ~inside[1:]
+    # a text's first byte starts a word and its last byte ends one, whatever stands beside them
+    full = off[:-1] < off[1:]
+    at = off[:-1][full]
+    first[at] = inside[at]
+    at = off[1:][full] - 1
+    last[at] = inside[at]
+    start = np.flatnonzero(first)
+    offsets = np.concatenate([[0], np.cumsum(np.flatnonzero(last) - start + 1)])
+    words = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(LOWER[raw[inside]].tobytes())])
+    return words, np.diff(np.searchsorted(start, off))
 
 
 def core_words(docs: DataFrame, core: int) -> list[bytes]:
     """The `core` words with the largest counts, ties by the word."""
 
     def count(batches):
-        words = Counter()
-        rows = lambda: pa.RecordBatch.from_arrays([pa.array(list(words), pa.binary()), pa.array(list(words.values()), pa.int64())], names=["word", "n"])
+        found = pa.table({"word": pa.array([], pa.binary()), "n": pa.array([], pa.int64())})
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                words.update(tokens(t))
-            if len(words) > 500_000:  # as a partial sum; nothing is dropped
-                yield rows()
-                words.clear()
-        yield rows()
+            new = pc.value_counts(split_words(batch.column(0))[0])
+            found = pa.concat_tables([found, pa.table({"word": new.field(0).cast(pa.binary()), "n": new.field(1)})])
+            if found.num_rows > 1_000_000:
+                found = found.group_by("word").aggregate([("n", "sum")]).select(["word", "n_sum"]).rename_columns(["word", "n"])
+            if found.num_rows > 500_000:  # as a partial sum; nothing is dropped
+                yield from found.to_batches()
+                found = found.slice(0, 0)
+        yield from found.to_batches()
 
     top = docs.mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(core)
     return [bytes(r[0]) for r in top.collect()]
 
 
-def core_bigrams(docs: DataFrame, ids, core: int) -> DataFrame:
+def _among(words: pa.Array, top: list[bytes]) -> np.ndarray:
+    """Each word's place in `top`, len(top) for one that isn't there."""
+    return pc.fill_null(pc.index_in(words.cast(pa.binary()), value_set=pa.array(top, pa.binary())), len(top)).to_numpy(zero_copy_only=False)
+
+
+def _with_ends(values: np.ndarray, lengths: np.ndarray, end: int) -> np.ndarray:
+    """Puts `end` behind each text's values."""
+    return np.insert(values, np.cumsum(lengths), end)
+
+
+def core_bigrams(docs: DataFrame, top, core: int) -> DataFrame:
     """(a, b, n) over training texts; id `core` is any other word and core + 1 a text's end, which also stands before its start."""
     size = core + 2
 
     def count(batches):
-        get = ids.value.get
         keys, total = np.empty(0, np.int64), np.empty(0, np.int64)
         for batch in batches:
-            parts = [np.array([core + 1])]
-            for t in batch.column(0).to_pylist():
-                own = tokens(t)
-                parts += [np.fromiter(map(get, own, repeat(core)), np.int64, len(own)), np.array([core + 1])]
-            flat = np.concatenate(parts)
+            words, lengths = split_words(batch.column(0))
+            coded = words.dictionary_encode()
+            ids = _among(coded.dictionary, top.value).astype(np.int64)
+            ids[ids == len(top.value)] = core
+            flat = np.concatenate([[core + 1], _with_ends(ids[coded.indices.to_numpy()], lengths, core + 1)])
             k, n = np.unique(flat[:-1] * size + flat[1:], return_counts=True)
             keys, at = np.unique(np.concatenate([keys, k]), return_inverse=True)
             total = np.bincount(at, np.concatenate([total, n]), len(keys)).astype(np.int64)
@@ -179,19 +215,17 @@ def _chunks(docs: DataFrame, chunk_bytes: int) -> tuple[DataFrame, int]:
     return docs.withColumn("chunk", F.pmod(F.xxhash64("id", "text", F.spark_partition_id()), F.lit(n)).cast("int")), n
 
 
-def _encode(texts: list, vocabulary: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Word ids of all texts in a row, each followed by -1 for its end, and the texts' lengths with it."""
-    parts, lengths = [], []
-    for t in texts:
-        own = tokens(t)
-        for w in dict.fromkeys(own):
-            if w not in vocabulary:
-                vocabulary[w] = len(vocabulary)
-        part = np.full(len(own) + 1, -1, np.int64)
-        part[:-1] = np.fromiter(map(vocabulary.__getitem__, own), np.int64, len(own))
-        parts.append(part)
-        lengths.append(len(own) + 1)
-    return (np.concatenate(parts) if parts else np.empty(0, np.int64)), np.array(lengths, np.int64)
+def _encode(texts) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct words; their numbers in all texts in a row, each text followed by -1 for its end; the texts' lengths with it."""
+    words, lengths = split_words(texts)
+    coded = words.dictionary_encode()
+    return coded.dictionary.cast(pa.binary()), _with_ends(coded.indices.to_numpy().astype(np.int64), lengths, -1), lengths + 1
+
+
+def _core_classes(words: pa.Array, core, other: int) -> np.ndarray:
+    """Each word's class if it is a core word, else `other`."""
+    top, classes = core
+    return np.append(classes, other)[_among(words, top)]
 
 
 def _contexts(ids: np.ndarray, train: np.ndarray, code: np.ndarray, tail: np.ndarray) -> dict[str, pa.Array]:
@@ -222,16 +256,13 @@ def encode_chunks(docs: DataFrame, core, kind: str) -> DataFrame:
     """Rows of two kinds: (chunk, at, word, n, context) for each distinct word of a chunk, its number there being `at`, with _contexts by the core's classes; (chunk, id, held_out, ids) for each text, as word numbers with -1 for its end."""
 
     def encode(table: pa.Table) -> pa.Table:
-        own_classes = core.value
-        vocabulary: dict[bytes, int] = {}
         held = np.array(table.column("held_out").to_pylist(), bool)
-        ids, lengths = _encode(table.column("text").to_pylist(), vocabulary)
-        words = list(vocabulary)
-        code = np.array([own_classes.get(w, TAIL) for w in words] + [END], np.int64)
+        words, ids, lengths = _encode(table.column("text"))
+        code = np.append(_core_classes(words, core.value, TAIL), END)
         found = _contexts(ids, np.repeat(~held, lengths), code, code[:-1] == TAIL)
         chunk = table.column("chunk")[0].as_py()
         number = lambda n: pa.array(np.full(n, chunk, np.int32))
-        rows = pa.table({"chunk": number(len(words)), "at": pa.array(np.arange(len(words), dtype=np.int32)), "word": pa.array(words, pa.binary()), **found})
+        rows = pa.table({"chunk": number(len(words)), "at": pa.array(np.arange(len(words), dtype=np.int32)), "word": words, **found})
         offsets = pa.array(np.concatenate([[0], 4 * np.cumsum(lengths)]).astype(np.int32))
         flat = pa.Array.from_buffers(pa.binary(), len(lengths), [None, offsets.buffers()[1], pa.py_buffer(ids.astype(np.int32).tobytes())])
         texts = pa.table({"chunk": number(len(lengths)), "id": table.column("id"), "held_out": table.column("held_out"), "ids": flat})
@@ -257,12 +288,10 @@ def word_rows(texts: DataFrame, reply: DataFrame, core) -> DataFrame:
     """The word rows of encode_chunks by the classes that all words have in `reply`."""
 
     def count(own: pa.Table, words: pa.Table) -> pa.Table:
-        own_classes = core.value
         words = words.sort_by("at")
         ids, lengths = _ids(own)
         held = np.array(own.column("held_out").to_pylist(), bool)
-        names = words.column("word").to_pylist()
-        tail = np.array([w not in own_classes for w in names], bool)
+        tail = _core_classes(words.column("word").combine_chunks(), core.value, TAIL) == TAIL
         found = _contexts(ids, np.repeat(~held, lengths), _by_number(words, "cls", END), tail)
         return pa.table({"chunk": words.column("chunk"), "at": words.column("at"), "word": words.column("word"), **found})
 
@@ -296,38 +325,37 @@ def assign(rows: DataFrame, core, log_t) -> DataFrame:
     schema = pa.schema([("chunk", pa.int32()), ("at", pa.int32()), ("word", pa.binary()), ("c", pa.int64()), ("cls", pa.int32()), ("to", pa.int32())])
 
     def merge(batches):
-        own_classes, log = core.value, log_t.value
+        log = np.vstack([log_t.value, log_t.value.T])
         stats: Counter = Counter()
-        held: tuple | None = None
+        last: tuple | None = None
         for batch in batches:
             word = batch.column("word")
-            names = word.to_pylist()
+            if not len(word):
+                continue
             where, n = batch.column("chunk").to_numpy().astype(np.int64) << 32 | batch.column("at").to_numpy(), batch.column("n").to_numpy()
             lists = batch.column("context")
             _, ends, data = lists.buffers()
             off = np.frombuffer(ends, np.int32)[lists.offset : lists.offset + len(lists) + 1] // 4
-            packed = np.frombuffer(data, np.int32, off[-1])[off[0] :] if data is not None and len(lists) else np.empty(0, np.int32)
-            codes, counts = packed & (1 << SHIFT) - 1, packed >> SHIFT
-            start = np.flatnonzero(np.concatenate([[True], np.array(names[1:], object) != np.array(names[:-1], object)])) if len(names) else np.empty(0, np.int64)
-            which = np.zeros(len(names), np.int64)
-            which[start[1:]] = 1
-            which = np.cumsum(which)
+            packed = np.frombuffer(data, np.int32, off[-1])[off[0] :] if data is not None else np.empty(0, np.int32)
+            codes, times = packed & (1 << SHIFT) - 1, packed >> SHIFT
+            fresh = np.append(True, pc.not_equal(word.slice(1), word.slice(0, len(word) - 1)).to_numpy(zero_copy_only=False))
+            start, which = np.flatnonzero(fresh), np.cumsum(fresh) - 1
             total = np.bincount(which, n, len(start)).astype(np.int64)
-            ctx = np.zeros((len(start), 2 * CODES), np.int64)
-            np.add.at(ctx, (np.repeat(which, np.diff(off)), codes.astype(np.int64)), counts)
-            own = [names[i] for i in start]
-            parts = np.split(where, start[1:])
-            if held is not None and own and held[0] == own[0]:
-                total[0] += held[1]
-                ctx[0] += held[2]
-                parts[0] = np.concatenate([held[3], parts[0]])
-            elif held is not None:
-                yield from _reply([held[0]], np.array([held[1]]), held[2][None], [held[3]], own_classes, log, stats, schema)
-            if own:
-                held = (own[-1], int(total[-1]), ctx[-1], parts[-1])
-                yield from _reply(own[:-1], total[:-1], ctx[:-1], parts[:-1], own_classes, log, stats, schema)
-        if held is not None:
-            yield from _reply([held[0]], np.array([held[1]]), held[2][None], [held[3]], own_classes, log, stats, schema)
+            ctx = np.bincount(np.repeat(which, np.diff(off)) * (2 * CODES) + codes, times, len(start) * 2 * CODES).reshape(-1, 2 * CODES)
+            rows = np.diff(np.append(start, len(word)))
+            if last is not None and last[0] == word[0].as_py():
+                word = pa.concat_arrays([pa.repeat(pa.scalar(last[0], pa.binary()), len(last[3])), word])
+                total[0] += last[1]
+                ctx[0] += last[2]
+                where = np.concatenate([last[3], where])
+                rows[0] += len(last[3])
+            elif last is not None:
+                yield from _reply(pa.repeat(pa.scalar(last[0], pa.binary()), len(last[3])), np.array([len(last[3])]), np.array([last[1]]), last[2][None], last[3], core.value, log, stats, schema)
+            end = len(word) - rows[-1]
+            last = (word[-1].as_py(), total[-1], ctx[-1].copy(), where[end:].copy())
+            yield from _reply(word.slice(0, end), rows[:-1], total[:-1], ctx[:-1], where[:end], core.value, log, stats, schema)
+        if last is not None:
+            yield from _reply(pa.repeat(pa.scalar(last[0], pa.binary()), len(last[3])), np.array([len(last[3])]), np.array([last[1]]), last[2][None], last[3], core.value, log, stats, schema)
         rows = [(a, b, int(v)) for (a, b), v in stats.items()]
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array([-1] * len(rows), pa.int32()), pa.array([None] * len(rows), pa.int32()), pa.array([None] * len(rows), pa.binary()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32())], schema=schema)
@@ -335,25 +363,22 @@ def assign(rows: DataFrame, core, log_t) -> DataFrame:
     return rows.repartition("word").sortWithinPartitions("word").mapInArrow(merge, "chunk int, at int, word binary, c long, cls int, to int")
 
 
-def _reply(words, total, ctx, chunks, own_classes, log, stats, schema):
-    """Classes of whole words, the sums they add to, and the rows for their chunks."""
-    if not words:
+def _reply(names, rows, total, ctx, where, core, log, stats, schema):
+    """Classes of whole words, the sums they add to, and the rows for their chunks. Of names and where, each word has as many as `rows` says, one word after another."""
+    if not len(rows):
         return
-    cls = np.array([own_classes.get(w, -1) for w in words], np.int64)
+    cls = _core_classes(names.take(pa.array(np.cumsum(rows) - rows)), core, -1)
     tail = cls < 0
     # log probability of the neighbours with the word in each class; unknown neighbours say nothing
-    score = ctx[:, :CODES] @ log + ctx[:, CODES:] @ log.T
-    cls[tail] = np.argmax(score[tail][:, :CLASSES], axis=1)
+    cls[tail] = np.argmax((ctx[tail] @ log)[:, :CLASSES], axis=1)
     seen = total > 0
     for k in np.unique(cls[seen]):
         stats[(int(k), -1)] += int((cls[seen] == k).sum())
         stats[(int(k), -2)] += int(total[seen & (cls == k)].sum())
-    lengths = np.fromiter(map(len, chunks), np.int64, len(chunks))
-    flat = np.concatenate(chunks)
-    at, names = np.repeat(np.arange(len(words)), lengths), pa.array(words, pa.binary())
-    for lo in range(0, len(flat), 50_000):
-        part = at[lo : lo + 50_000]
-        yield pa.RecordBatch.from_arrays([pa.array((flat[lo : lo + 50_000] >> 32).astype(np.int32)), pa.array((flat[lo : lo + 50_000] & 0xFFFFFFFF).astype(np.int32)), names.take(pa.array(part)), pa.array(total[part], pa.int64()), pa.array(cls[part], pa.int32()), pa.array(np.zeros(len(part), np.int32))], schema=schema)
+    total, cls = np.repeat(total, rows), np.repeat(cls, rows)
+    for lo in range(0, len(where), 50_000):
+        part = slice(lo, lo + 50_000)
+        yield pa.RecordBatch.from_arrays([pa.array((where[part] >> 32).astype(np.int32)), pa.array((where[part] & 0xFFFFFFFF).astype(np.int32)), names.slice(lo, 50_000), pa.array(total[part], pa.int64()), pa.array(cls[part], pa.int32()), pa.array(np.zeros(len(where[part]), np.int32))], schema=schema)
 
 
 class Model:
@@ -435,11 +460,10 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     train = rows.where("NOT held_out").select("text")
     texts = train.count()
     top = core_words(train, core)
-    ids = sc.broadcast({w: i for i, w in enumerate(top)})
-    bigrams = cut(core_bigrams(train, ids, core))
+    bigrams = cut(core_bigrams(train, sc.broadcast(top), core))
     classes = exchange(bigrams, core, rounds)
     counts = class_matrix(bigrams, classes)
-    own = sc.broadcast({w: int(classes[i]) for w, i in ids.value.items()})
+    own = sc.broadcast((top, classes[: len(top)]))
     # transitions that a word's one move is judged by; the class's own size counts against it
     t = counts + 0.1
     log_t = np.log(t / t.sum(axis=1, keepdims=True)) - 0.5 * np.log(t.sum(axis=0) / t.sum())[None, :]
