@@ -43,22 +43,22 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def store(df: DataFrame, kind: str) -> DataFrame:
+def store(df: DataFrame, kind: str, codec: str = "snappy") -> DataFrame:
     """Cuts the lineage of a large frame with a Parquet table in the shared folder, which takes less room than a checkpoint.
 
     The shuffles that made it are deleted with the end of the write.
     """
     path = new_dir(df.sparkSession, kind)
-    write(df, path)
+    write(df, path, codec=codec)
     return stored(df.sparkSession, path, df.schema)
 
 
-def write(df: DataFrame, path: str, *by: str) -> None:
+def write(df: DataFrame, path: str, *by: str, codec: str = "snappy") -> None:
     conf, name = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = conf.get(name, None)
     conf.set(name, "true")
     try:
-        df.write.partitionBy(*by).parquet(path)
+        df.write.partitionBy(*by).parquet(path, compression=codec)
     finally:
         conf.unset(name) if before is None else conf.set(name, before)
 

@@ -471,16 +471,16 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     chunked, _ = _chunks(rows, chunk_bytes)
     chunked = encode_chunks(chunked, own, kind).withColumn("kind", F.when(F.col("at").isNull(), "text").otherwise("word"))
     path = new_dir(docs.sparkSession, "chunks")
-    write(chunked, path, "kind")
+    write(chunked, path, "kind", codec="zstd")
     words = stored(docs.sparkSession, path, f"{WORD_ROWS}, kind string").where("kind = 'word'").drop("kind")
     encoded = stored(docs.sparkSession, path, f"chunk int, id {kind}, held_out boolean, ids binary, kind string").where("kind = 'text'").drop("kind")
     log_t = sc.broadcast(log_t)
-    reply = store(assign(words, own, log_t), "words")
+    reply = store(assign(words, own, log_t), "words", "zstd")
     delete(docs.sparkSession, f"{path}/kind=word")
     for r in range(TAIL_ROUNDS):
         found = word_rows(encoded, reply.where("chunk >= 0").select("chunk", "at", "word", "cls"), own)
         answers = assign(found, own, log_t)
-        reply, old = store(answers.drop("word") if r == TAIL_ROUNDS - 1 else answers, "words"), reply
+        reply, old = store(answers.drop("word") if r == TAIL_ROUNDS - 1 else answers, "words", "zstd"), reply
         release(old)
     sums = [(r[0], r[1], r[2]) for r in reply.where("chunk = -1").groupBy("cls", "to").agg(F.sum("c")).collect()]
     reply = reply.where("chunk >= 0").select("chunk", "at", "c", "cls")
