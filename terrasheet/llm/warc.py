@@ -1,12 +1,20 @@
 """WARC archives as a PySpark data source: `spark.read.format("warc")` and `df.write.format("warc")`.
 
-The writer puts one gzip member for each record into files of bounded size, under
-names of their own for each task attempt, and lists the committed files in a
-manifest; what a lost executor leaves behind isn't listed and is never read. The
-reader plans partitions from the manifest by file. It takes filters on the record
-type and on header columns, parses the headers first, and neither copies nor
-decodes the payloads of records that a filter drops; with option payload=false no
-payload is kept at all.
+The writer puts one gzip member for each record, with its length in the member's
+header, into files of bounded size, under names of their own for each task attempt,
+and lists the committed files in a manifest; what a lost executor leaves behind
+isn't listed and is never read. The reader plans partitions by file: those of the
+manifest, or all `.warc` and `.warc.gz` files where there is none. It takes filters
+on the record type and on header columns and parses the headers first. A record
+that a filter drops, or whose payload isn't asked for (option payload=false), is
+passed over by its member's length, without inflating its payload; where a member
+doesn't tell its length it is inflated and thrown away.
+
+Archives of other writers: names of header fields may be in any case and their
+values folded. A block is read as HTTP if its Content-Type says so; its payload is
+then the body, with a chunked body's frames taken off, else the payload is the whole
+block. Revisits have no payload; theirs and the payload length are null where
+nothing tells them.
 """
 
 from __future__ import annotations
@@ -14,6 +22,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import struct
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -28,8 +37,12 @@ MANIFEST = "_manifest.json"
 READ_SCHEMA = "record_type string, record_id string, target_uri string, record_date string, refers_to_id string, payload_digest string, payload_length long, payload binary"
 WRITE_COLUMNS = ("record_id", "target_uri", "record_date", "refers_to_id", "payload")
 #: Reader columns that a header field alone decides.
-FIELDS = {"record_type": "WARC-Type", "record_id": "WARC-Record-ID", "target_uri": "WARC-Target-URI", "record_date": "WARC-Date", "refers_to_id": "WARC-Refers-To", "payload_digest": "WARC-Payload-Digest"}
-CHUNK = 1 << 20
+FIELDS = {"record_type": "warc-type", "record_id": "warc-record-id", "target_uri": "warc-target-uri", "record_date": "warc-date", "refers_to_id": "warc-refers-to", "payload_digest": "warc-payload-digest"}
+CHUNK, STEP = 1 << 20, 16 << 10
+#: Bytes inflated of a member before its headers have been looked at.
+HEAD = 2 << 10
+#: A gzip header with the extra field `sl`: lengths of the member and of what it holds.
+GZIP = struct.Struct("<4sIBBH2sHII")
 BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
 
 
@@ -59,86 +72,159 @@ def encode_record(record_id: str, uri: str | None, date: str, refers_to: str | N
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
+def gzip_member(data: bytes, level: int) -> bytes:
+    """A gzip member that tells its own length; longer ones than 4 GB tell none."""
+    z = zlib.compressobj(level, zlib.DEFLATED, -15)
+    body = z.compress(data) + z.flush()
+    length = GZIP.size + len(body) + 8
+    if max(length, len(data)) >> 32:
+        z = zlib.compressobj(level, zlib.DEFLATED, 31)
+        return z.compress(data) + z.flush()
+    head = GZIP.pack(b"\x1f\x8b\x08\x04", 0, 0, 255, 12, b"sl", 8, length, len(data))
+    return head + body + struct.pack("<II", zlib.crc32(data), len(data))
+
+
 class _Stream:
-    """Decompressed bytes of a file of gzip members, read in pieces, with skipping."""
+    """Bytes of a file of gzip members, or of a plain one, read in pieces, with skipping."""
 
     def __init__(self, raw):
-        self.raw, self.buf, self.at, self.z = raw, b"", 0, None
+        #: data[at:] are bytes of the file that are not inflated yet, `read` is where they end; buf[got:] is inflated.
+        self.raw, self.data, self.at, self.read = raw, b"", 0, 0
+        self.buf, self.got, self.z, self.end, self.plain = b"", 0, None, None, None
+
+    def _fill(self) -> bool:
+        if self.at == len(self.data):
+            self.data, self.at = self.raw.read(CHUNK), 0
+            self.read += len(self.data)
+        return self.at < len(self.data)
 
     def _more(self) -> bool:
-        while True:
+        while self._fill():
+            most = STEP
             if self.z is None or self.z.eof:
-                data = self.z.unused_data if self.z is not None else b""
-                data = data or self.raw.read(CHUNK)
-                if not data:
-                    return False
-                self.z = zlib.decompressobj(31)
-            else:
-                data = self.z.unconsumed_tail or self.raw.read(CHUNK)
-                if not data:
-                    raise OSError("the archive ends within a record")
-            out = self.z.decompress(data, CHUNK)
+                if len(self.data) - self.at < GZIP.size:
+                    rest = self.raw.read(CHUNK)
+                    self.data, self.at, self.read = self.data[self.at :] + rest, 0, self.read + len(rest)
+                if self.plain is None:
+                    self.plain = self.data[self.at : self.at + 2] != b"\x1f\x8b"
+                if self.plain:
+                    out, self.at = self.data[self.at :], len(self.data)
+                    self.buf, self.got = self.buf[self.got :] + out, 0
+                    return True
+                self.z, self.end, most = zlib.decompressobj(31), None, HEAD
+                if len(self.data) - self.at >= GZIP.size:
+                    head = GZIP.unpack_from(self.data, self.at)
+                    if head[0][3] & 4 and head[5:7] == (b"sl", 8):
+                        self.end = self.read - len(self.data) + self.at + head[7]
+            part = self.data[self.at : self.at + STEP]
+            out = self.z.decompress(part, most)
+            self.at += len(part) - len(self.z.unused_data if self.z.eof else self.z.unconsumed_tail)
             if out:
-                self.buf, self.at = self.buf[self.at :] + out, 0
+                self.buf, self.got = self.buf[self.got :] + out, 0
                 return True
+        if self.z is not None and not self.z.eof:
+            raise OSError("the archive ends within a record")
+        return False
 
-    def until(self, mark: bytes) -> bytes | None:
-        """The bytes before the next `mark`, which is passed over; None at the end."""
-        while (i := self.buf.find(mark, self.at)) < 0:
+    def until(self, mark: bytes, most: int | None = None) -> bytes | None:
+        """The bytes before the next `mark`, which is passed over. None at the end, or if there is none in the next `most` bytes."""
+        seen = 0
+        while True:
+            i = self.buf.find(mark, self.got + max(0, seen - len(mark)))
+            if i >= 0 and (most is None or i + len(mark) - self.got <= most):
+                out, self.got = self.buf[self.got : i], i + len(mark)
+                return out
+            seen = len(self.buf) - self.got
+            if most is not None and (i >= 0 or seen >= most):
+                return None
             if not self._more():
-                if self.buf[self.at :].strip():
+                if self.buf[self.got :].strip():
                     raise OSError("the archive ends within a header")
                 return None
-        out, self.at = self.buf[self.at : i], i + len(mark)
-        return out
 
     def take(self, n: int) -> bytes:
         parts = []
         while n:
-            if self.at == len(self.buf) and not self._more():
+            if self.got == len(self.buf) and not self._more():
                 raise OSError("the archive ends within a block")
-            piece = self.buf[self.at : self.at + n]
+            piece = self.buf[self.got : self.got + n]
             parts.append(piece)
-            self.at += len(piece)
+            self.got += len(piece)
             n -= len(piece)
         return b"".join(parts)
 
     def skip(self, n: int) -> None:
+        """Passes over the n bytes that are left of a record, which is the last of its member if that tells its length."""
+        if self.end is not None:
+            now = self.read - len(self.data) + self.at
+            if self.end > self.read:
+                self.raw.seek(self.end)
+                self.data, self.at, self.read = b"", 0, self.end
+            else:
+                self.at += self.end - now
+            self.buf, self.got, self.z, self.end = b"", 0, None, None
+            return
         while n:
-            if self.at == len(self.buf) and not self._more():
+            if self.got == len(self.buf) and not self._more():
                 raise OSError("the archive ends within a block")
-            step = min(n, len(self.buf) - self.at)
-            self.at += step
+            step = min(n, len(self.buf) - self.got)
+            self.got += step
             n -= step
 
 
 def _headers(raw: bytes) -> dict[str, str]:
-    lines = raw.decode("utf-8").split("\r\n")
-    return {k: v for k, _, v in (x.partition(": ") for x in lines[1:] if ": " in x)}
+    """Fields by their names in lower case; a line that starts with a blank goes on with the one before."""
+    lines = raw.decode("utf-8", "replace").replace("\r\n ", " ").replace("\r\n\t", " ").split("\r\n")
+    return {k.strip().lower(): v.strip() for k, colon, v in (x.partition(":") for x in lines[1:]) if colon}
+
+
+def _unchunked(body: bytes) -> bytes:
+    """A chunked body without its frames; one that isn't framed as it says stays as it is."""
+    parts, at = [], 0
+    while True:
+        line = body.find(b"\r\n", at)
+        try:
+            n = int(body[at:line].split(b";")[0], 16) if line >= 0 else -1
+        except ValueError:
+            n = -1
+        if n < 0 or line + 2 + n > len(body):
+            return body
+        if not n:
+            return b"".join(parts)
+        parts.append(body[line + 2 : line + 2 + n])
+        at = line + 2 + n + 2
 
 
 def read_records(raw, wanted, payload: bool, verify: bool) -> Iterator[tuple]:
     """The records of a stream as tuples of READ_SCHEMA; `wanted` sees the header alone."""
     s = _Stream(raw)
     while (head := s.until(b"\r\n\r\n")) is not None:
-        h = _headers(head.lstrip(b"\r\n"))
-        n = int(h["Content-Length"])
+        if not (head := head.lstrip(b"\r\n")):
+            continue  # the end of the record before
+        h = _headers(head)
+        rest = int(h["content-length"])
         if not wanted(h):
-            s.skip(n + 4)
+            s.skip(rest)
             continue
-        http = s.until(b"\r\n\r\n")
-        rest = n - len(http) - 4
-        length = int(_headers(http)["Content-Length"])
-        digest = (h.get("WARC-Payload-Digest") or "").removeprefix("sha1:") or None
-        body = None
-        if h.get("WARC-Type") == "response" and (payload or verify):
+        revisit, http = h.get("warc-type") == "revisit", {}
+        if h.get("content-type", "").lower().startswith("application/http") and (raw_http := s.until(b"\r\n\r\n", rest)) is not None:
+            http, rest = _headers(raw_http), rest - len(raw_http) - 4
+        digest = (h.get("warc-payload-digest") or "").removeprefix("sha1:") or None
+        body, length = None, rest
+        if revisit:
+            told = http.get("content-length", "")
+            length = int(told) if told.isdecimal() else None
+            s.skip(rest)
+        elif (chunked := http.get("transfer-encoding", "").lower() == "chunked") or payload or verify:
             body = s.take(rest)
-            if verify and (len(body) != length or sha1_base32(body) != digest):
-                raise ValueError(f"the payload of {h.get('WARC-Record-ID')} doesn't have its header's length and digest")
+            body = _unchunked(body) if chunked else body
+            length = len(body)
+            told = http.get("content-length", "")
+            if verify and (not chunked and told.isdecimal() and length != int(told) or digest and len(digest) == 32 and sha1_base32(body) != digest.upper()):
+                raise ValueError(f"the payload of {h.get('warc-record-id')} doesn't have its header's length and digest")
         else:
             s.skip(rest)
-        s.skip(4)
-        yield (h.get("WARC-Type"), h.get("WARC-Record-ID"), h.get("WARC-Target-URI"), h.get("WARC-Date"), h.get("WARC-Refers-To"), digest, length, body if payload else None)
+        yield (*(h.get(FIELDS[c]) for c in ("record_type", "record_id", "target_uri", "record_date", "refers_to_id")), digest, length, body if payload else None)
 
 
 class _File(InputPartition):
@@ -186,13 +272,18 @@ class WarcReader(DataSourceReader):
 
     def partitions(self):
         where, root = place(self.path)
+        if where.get_file_info(f"{root}/{MANIFEST}").type != fs.FileType.File:
+            alone = where.get_file_info(root).type == fs.FileType.File
+            names = [root] if alone else sorted(x.path for x in where.get_file_info(fs.FileSelector(root, recursive=True)) if x.path.endswith((".warc", ".warc.gz")))
+            return [_File(x) for x in names] or [_File("")]
         with where.open_input_stream(f"{root}/{MANIFEST}") as f:
-            return [_File(x) for x in json.loads(f.read())] or [_File("")]
+            names = json.loads(f.read())
+        return [_File(f"{root}/{x}") for x in names] or [_File("")]
 
     def read(self, partition):
         if not partition.path:
             return
-        where, root = place(self.path)
+        where, _ = place(self.path)
         schema = pa.schema([(n, {"long": pa.int64(), "binary": pa.binary()}.get(t, pa.string())) for n, t in (x.split() for x in READ_SCHEMA.split(", "))])
         rows, held = [], 0
 
@@ -200,7 +291,7 @@ class WarcReader(DataSourceReader):
             columns = list(zip(*rows, strict=True))
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
 
-        with where.open_input_stream(f"{root}/{partition.path}", compression=None) as raw:
+        with where.open_input_file(partition.path) as raw:
             for r in read_records(raw, _test(self.filters), self.payload, self.verify):
                 rows.append(r)
                 held += len(r[-1] or b"")
@@ -231,9 +322,7 @@ class WarcWriter(DataSourceArrowWriter):
                 columns = [batch.column(batch.schema.get_field_index(c)) for c in WRITE_COLUMNS]
                 for row in zip(*columns, strict=True):
                     rid, uri, date, refers, payload = (x.as_py() for x in row)
-                    data = encode_record(rid, uri, date, refers, payload or b"")
-                    z = zlib.compressobj(self.level, zlib.DEFLATED, 31)
-                    data = z.compress(data) + z.flush()
+                    data = gzip_member(encode_record(rid, uri, date, refers, payload or b""), self.level)
                     if out is None or size + len(data) > self.most:
                         if out is not None:
                             out.close()

@@ -2,6 +2,7 @@
 
 import base64
 import collections
+import gzip
 import hashlib
 import math
 import random
@@ -364,6 +365,52 @@ def test_warc_round_trip(spark, data):
     assert {r.page_id for r in warc.page_digests(warc.read_archive(spark, least)).where("record_type = 'revisit'").collect()} & {1004} == set()
 
 
+def _record(fields, block):
+    return ("WARC/1.0\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields) + f"content-length: {len(block)}\r\n\r\n").encode() + block + b"\r\n\r\n"
+
+
+FOREIGN = [
+    _record([("WARC-Type", "warcinfo"), ("WARC-Record-ID", "<a>")], b"software: x\r\n"),
+    _record([("warc-type", "request"), ("Content-Type", "application/http; msgtype=request")], b"GET / HTTP/1.1\r\nHost: x\r\n\r\n"),
+    _record([("warc-type", "response"), ("warc-target-uri", "http://a/\r\n b"), ("Content-Type", "application/http;msgtype=response")], b"HTTP/1.1 200 OK\r\ntransfer-encoding: chunked\r\n\r\n5\r\nhello\r\n6;x=1\r\n world\r\n0\r\n\r\n"),
+    _record([("warc-type", "response"), ("Content-Type", "application/http")], b"HTTP/1.1 200 OK\r\n\r\nbody \r\n\r\n more"),
+    _record([("warc-type", "revisit"), ("warc-refers-to", "<a>"), ("Content-Type", "application/http")], b""),
+    _record([("warc-type", "response"), ("Content-Type", "text/dns")], b"a. A 1.1.1.1\r\n"),
+    _record([("warc-type", "response"), ("Content-Type", "application/http")], b"HTTP/1.1 204 none"),
+]
+
+
+def test_warc_of_other_writers(spark, tmp_path):
+    plain = b"".join(FOREIGN)
+    forms = {"plain.warc": plain, "one.warc.gz": gzip.compress(plain), "sub/each.warc.gz": b"".join(map(gzip.compress, FOREIGN)), "own.warc.gz": b"".join(warc.gzip_member(r, 1) for r in FOREIGN)}
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "notes.txt").write_text("no archive")
+    for name, data in forms.items():
+        (tmp_path / name).write_bytes(data)
+    want = [("warcinfo", None, b"software: x\r\n"), ("request", None, b""), ("response", "http://a/ b", b"hello world"), ("response", None, b"body \r\n\r\n more"), ("revisit", None, None), ("response", None, b"a. A 1.1.1.1\r\n"), ("response", None, b"HTTP/1.1 204 none")]
+    want = collections.Counter((t, u, b, None if b is None else len(b)) for t, u, b in want)
+    row = lambda r: (r.record_type, r.target_uri, None if r.payload is None else bytes(r.payload), r.payload_length)
+    for name in forms:
+        assert collections.Counter(map(row, warc.read_archive(spark, f"{tmp_path}/{name}", verify=True).collect())) == want
+    assert collections.Counter(map(row, warc.read_archive(spark, str(tmp_path)).collect())) == collections.Counter({k: len(forms) * n for k, n in want.items()})
+    assert warc.read_archive(spark, str(tmp_path), payload=False).where("record_type = 'request'").count() == len(forms)
+
+
+def test_warc_passes_over_dropped_payloads(spark, tmp_path):
+    rng = random.Random(3)
+    own = [warc.gzip_member(warc.encode_record(f"urn:{i}", "u", "d", None, rng.randbytes(n)), 1) for i, n in enumerate([0, 10, 100_000, 3_000_000, 5, 20_000])]
+    data = bytearray(b"".join(own))
+    for i in (2, 3):  # spoilt payloads show that they aren't inflated
+        at = sum(map(len, own[:i])) + 50_000
+        data[at : at + 9000] = bytes(b ^ 255 for b in data[at : at + 9000])
+    (tmp_path / "a.warc.gz").write_bytes(data)
+    a = warc.read_archive(spark, str(tmp_path))
+    kept = a.where("record_id IN ('urn:0', 'urn:1', 'urn:4', 'urn:5')").collect()
+    assert {(r.record_id, r.payload_length) for r in kept} == {("urn:0", 0), ("urn:1", 10), ("urn:4", 5), ("urn:5", 20_000)}
+    lengths = warc.read_archive(spark, str(tmp_path), payload=False).select("payload_length").collect()
+    assert [r[0] for r in lengths] == [0, 10, 100_000, 3_000_000, 5, 20_000]
+
+
 def test_warc_empty(spark):
     path = new_dir(spark, "warc")
     warc.write_pages(spark.createDataFrame([], "page_id long, url string, html string"), path)
