@@ -15,6 +15,8 @@ from .common import cut, number_rows
 
 #: Rows of one (shard, move) counter go through so many hash buckets when they are numbered.
 BUCKETS = 256
+#: A group with more than one in so many of all rows is large; there are fewer such groups than that.
+LARGE = 1000
 
 
 def _by_shard(values: dict[int, int], shard: Column, default: int = 0) -> Column:
@@ -28,7 +30,7 @@ def _counts(df: DataFrame, col: str) -> dict[int, int]:
 
 
 def propagate(rows: DataFrame, shards: int, capacity: int, rounds: int) -> DataFrame:
-    """Rounds of label propagation over `rows` (_group, _h, shard; singles have a null _group).
+    """Rounds of label propagation over `rows` (_group, _large, _h, shard; singles have a null _group).
 
     In each round the rows of a group are counted by shard. A group's homes are the
     shards that hold most of it among those with room, one for each capacity's
@@ -36,24 +38,26 @@ def propagate(rows: DataFrame, shards: int, capacity: int, rounds: int) -> DataF
     group's fullest shard that has room. A shard grants as many requests as it has
     room, in hash order, so that no shard passes its capacity. Singles never ask:
     they leave full shards later, when sizes are made even. Room of a shard is its
-    capacity less the linked rows it holds.
+    capacity less the linked rows it holds. What large groups lean to, fewer than LARGE lines, is broadcast,
+    so that their rows stay where they are.
     """
     linked = rows.where(F.col("_group").isNotNull())
     singles = rows.where(F.col("_group").isNull())
     for _ in range(rounds):
         held = _counts(linked, "shard")
         room = {s: max(0, capacity - held.get(s, 0)) for s in range(shards)}
-        each = linked.groupBy("_group", "shard").agg(F.count(F.lit(1)).alias("n")).withColumn("room", _by_shard(room, F.col("shard")))
+        each = linked.groupBy("_group", "_large", "shard").agg(F.count(F.lit(1)).alias("n")).withColumn("room", _by_shard(room, F.col("shard")))
         # at most one entry for each shard
         rank = F.struct((-F.col("room") - F.col("n")).alias("fits"), (-F.col("n")).alias("n"), F.xxhash64("_group", "shard").alias("tie"), "shard", "room")
         full = F.struct(F.greatest(F.col("rank.fits"), -F.col("total")).alias("fits"), F.col("rank.n").alias("n"), F.col("rank.tie").alias("tie"), F.col("rank.shard").alias("shard"), F.col("rank.room").alias("room"))
-        totals = each.groupBy("_group").agg(F.sum("n").alias("total"), F.collect_list(rank).alias("ranks"))
-        lean = totals.select("_group", "total", F.explode("ranks").alias("rank")).groupBy("_group", "total").agg(F.array_sort(F.collect_list(full)).alias("c"))
+        totals = each.groupBy("_group", "_large").agg(F.sum("n").alias("total"), F.collect_list(rank).alias("ranks"))
+        lean = totals.select("_group", "_large", "total", F.explode("ranks").alias("rank")).groupBy("_group", "_large", "total").agg(F.array_sort(F.collect_list(full)).alias("c"))
         homes = F.slice("c", 1, F.ceil(F.col("total") / capacity).cast("int"))
         free = F.filter(homes, lambda x: x["room"] > 0)
         other = F.slice(F.filter("c", lambda x: x["room"] > 0), 1, 1)
-        lean = lean.select("_group", F.transform(homes, lambda x: x["shard"]).alias("_homes"), F.transform(F.when(F.size(free) > 0, free).otherwise(other), lambda x: x["shard"]).alias("_open"))
-        asked = linked.join(lean, "_group")
+        lean = lean.select("_group", "_large", F.transform(homes, lambda x: x["shard"]).alias("_homes"), F.transform(F.when(F.size(free) > 0, free).otherwise(other), lambda x: x["shard"]).alias("_open"))
+        small, large = ~F.col("_large"), F.col("_large")
+        asked = linked.where(small).join(lean.where(small).drop("_large"), "_group").unionByName(linked.where(large).join(F.broadcast(lean.where(large).drop("_large")), "_group"))
         away = ~F.array_contains("_homes", F.col("shard")) & (F.size("_open") > 0)
         asked = asked.withColumn("_to", F.when(away, F.get("_open", F.pmod(F.col("_h"), F.greatest(F.size("_open"), F.lit(1))).cast("int"))).otherwise(F.col("shard"))).drop("_homes", "_open")
         moving = number_rows(asked.where("shard <> _to"), ["_to"], "_h", ["_id"], "_rank", BUCKETS)
@@ -107,16 +111,22 @@ def shard_documents(docs: DataFrame, shards: int = 24, rounds: int = 5, id_col:
         F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
         F.when(F.col(text_col).isNotNull(), F.sha2(text, 256)).alias("_digest"),
     )
+    slim = cut(slim)
+    n = slim.count()
     groups = slim.where(F.col("_digest").isNotNull()).groupBy("_digest").agg(F.count(F.lit(1)).alias("_copies")).where("_copies > 1")
+    large = F.col("_copies") * LARGE > n
+    # rows of large groups and those without a text have a key of their own in the shuffled join, which nothing meets
+    marked = slim.withColumn("_h", F.xxhash64(F.col("_id"), F.lit(7))).join(F.broadcast(groups.where(large).select("_digest", F.lit(True).alias("_large"))), "_digest", "left")
+    key = F.when(F.col("_large").isNull() & F.col("_digest").isNotNull(), F.col("_digest")).otherwise(F.concat(F.lit("#"), F.col("_h").cast("string")))
     rows = (
-        slim.join(groups, "_digest", "left")
-        .withColumn("_group", F.when(F.col("_copies").isNotNull(), F.col("_digest")))
-        .withColumn("_h", F.xxhash64(F.col("_id"), F.lit(7)))
+        marked.withColumn("_key", key)
+        .join(groups.where(~large).select(F.col("_digest").alias("_key"), "_copies"), "_key", "left")
+        .withColumn("_large", F.coalesce("_large", F.lit(False)))
+        .withColumn("_group", F.when(F.col("_large") | F.col("_copies").isNotNull(), F.col("_digest")))
         .withColumn("shard", F.pmod(F.xxhash64(F.col("_id"), F.lit(11)), F.lit(shards)).cast("int"))
-        .select("_id", "size", "text_crc32", "_group", "_h", "shard")
+        .select("_id", "size", "text_crc32", "_group", "_large", "_h", "shard")
     )
     rows = cut(rows)
-    n = rows.count()
     capacity = max(1, n // shards)
     placed = balance_rows(propagate(rows, shards, capacity, rounds), shards, n)
     return placed.select(F.col("_id").alias(id_col), "size", "text_crc32", F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"), F.col("slot"), F.lit(None).cast("int").alias("grown_shard"))

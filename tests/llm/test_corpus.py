@@ -608,6 +608,17 @@ def test_sharding(spark):
     del rng
 
 
+@pytest.mark.parametrize("large", [1, 10, 10**6])
+def test_sharding_ways_agree(spark, monkeypatch, large):
+    """All groups small, some large, all large: the same places."""
+    d = spark.createDataFrame([(i, f"text {i % 40}" if i < 400 else "hot" if i < 700 else None if i < 800 else f"own {i}") for i in range(1000)], "doc_id long, text string").repartition(4)
+    want = sorted(map(tuple, sharding.shard_documents(d, shards=7, rounds=2).collect()))
+    monkeypatch.setattr(sharding, "LARGE", large)
+    got = sharding.shard_documents(d, shards=7, rounds=2).collect()
+    check_shards(got, 7)
+    assert sorted(map(tuple, got)) == want
+
+
 def test_sharding_odd(odd, none):
     got = sharding.shard_documents(odd).collect()
     check_shards(got, 24)
