@@ -128,3 +128,17 @@ def to_matrix(t: Column) -> Column:
 
 def from_matrix(m: Column) -> Column:
     return affine(*[F.get(m, F.lit(i)) for i in range(6)])
+
+
+def clip_segment(ax: Column, ay: Column, bx: Column, by: Column, b: dict) -> Column:
+    """The part of the segment from a to b that lies in box `b` as a struct (ax, ay, bx, by); null if there is none of any length."""
+    enter, leave, out = [F.lit(0.0)], [F.lit(1.0)], F.lit(False)
+    for p, q, lo, hi in ((ax, bx, b["x1"], b["x2"]), (ay, by, b["y1"], b["y2"])):
+        to_lo, to_hi = (lo - p) / F.nullif(q - p, F.lit(0.0)), (hi - p) / F.nullif(q - p, F.lit(0.0))
+        # a segment along this side's axis has no such places: greatest and least pass over nulls
+        enter.append(F.least(to_lo, to_hi))
+        leave.append(F.greatest(to_lo, to_hi))
+        out = out | ((p == q) & ((p < lo) | (p > hi)))
+    t, u = F.greatest(*enter), F.least(*leave)
+    at = lambda p, q, t: p + t * (q - p)
+    return F.when(~out & (t < u), F.struct(at(ax, bx, t).alias("ax"), at(ay, by, t).alias("ay"), at(ax, bx, u).alias("bx"), at(ay, by, u).alias("by")))

@@ -174,3 +174,23 @@ def k05_s07_real_world_files(spark, sf):
     files.write_world_files(s.select(F.concat(F.lit("sheet"), F.col("s_suppkey").cast("string"), F.lit(".tfw")).alias("name"), t.alias("t")), path)
     back = files.read_world_files(spark, path)
     return back.select(F.substring_index("filename", "/", -1).alias("name"), F.col("line1").alias("a"), F.col("line5").alias("c"), F.col("line4").alias("e"), F.col("line6").alias("f"))
+
+
+@query("""WITH v AS (SELECT vec_id AS id, CAST((vec_id*7919)%10007 AS DOUBLE)/10 AS x, CAST((vec_id*6007)%10007 AS DOUBLE)/10 AS y, list_transform(embedding, lambda e: CASE WHEN e > 0.2 THEN 0.0 ELSE CAST(e AS DOUBLE) END) AS d, list_transform(embedding, lambda e: CASE WHEN e > 0.2 THEN 0.0 ELSE 1.0 END) AS m FROM embeddings), c AS (SELECT a.id, b.id AS r_id, 1 - (a.id % 5) / 10.0 AS quality, list_dot_product(a.m, b.m) / 64 AS overlap, 1 - list_dot_product(a.d, b.d) / sqrt(list_dot_product(a.d, a.d) * list_dot_product(b.d, b.d)) AS cos FROM v a JOIN v b ON a.id % 2 = 0 AND b.id % 2 = 1 AND (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y) < 200*200), d AS (SELECT *, cos + (1 - overlap) * 0.5 + (1 - quality) * 0.2 AS d FROM c), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, r_id) AS rn, lead(d) OVER (PARTITION BY id ORDER BY d, r_id) AS d2 FROM d) SELECT id, r_id, round(d, 6) AS d1, round(d2, 6) AS d2, round(quality, 6) AS quality, round(overlap, 6) AS overlap, round(1 - d / d2, 6) AS discriminability FROM r WHERE rn = 1 AND d < 0.9 * d2""")
+def j13_gated_descriptors(spark, sf):
+    """Even vectors stand for the targets' descriptors, odd ones for the references'; a bin above 0.2 is empty."""
+    e, k = table(spark, sf, "embeddings"), F.col("vec_id")
+    at = lambda m: ((k * m) % 10007).cast("double") / 10
+    v = e.select(k.alias("id"), at(7919).alias("x"), at(6007).alias("y"), F.transform("embedding", lambda b: F.when(b <= 0.2, b.cast("double"))).alias("descriptor"), (1 - (k % 5) / 10).alias("quality"))
+    got = S.gated_matches(v.where("id % 2 = 0"), v.where("id % 2 = 1"), 200.0, 0.9)
+    return got.select("id", "r_id", *[R6(F.col(c)).alias(c) for c in ("d1", "d2", "quality", "overlap", "discriminability")])
+
+
+@query("""WITH s AS (SELECT image, seq, x1 AS ax, CASE WHEN seq % 2 = 0 THEN y1 ELSE y2 END AS ay, CASE WHEN seq % 3 = 0 THEN x1 ELSE x2 + 9 END AS bx, CASE WHEN seq % 2 = 0 THEN y2 + 3 ELSE y1 END AS b_y FROM boxes), t AS (SELECT *, greatest(0.0, CASE WHEN bx > ax THEN (15.25 - ax) / (bx - ax) END, CASE WHEN b_y > ay THEN (2.5 - ay) / (b_y - ay) WHEN b_y < ay THEN (8.25 - ay) / (b_y - ay) END) AS t, least(1.0, CASE WHEN bx > ax THEN (36.75 - ax) / (bx - ax) END, CASE WHEN b_y > ay THEN (8.25 - ay) / (b_y - ay) WHEN b_y < ay THEN (2.5 - ay) / (b_y - ay) END) AS u FROM s WHERE (bx <> ax OR ax BETWEEN 15.25 AND 36.75) AND (b_y <> ay OR ay BETWEEN 2.5 AND 8.25)) SELECT image, seq, round(ax + t*(bx-ax), 6) AS ax, round(ay + t*(b_y-ay), 6) AS ay, round(ax + u*(bx-ax), 6) AS bx, round(ay + u*(b_y-ay), 6) AS b_y FROM t WHERE u > t""", "boxes")
+def p06_clip_lines(spark, sf):
+    """Lines rising, falling and upright, clipped to a box."""
+    b, odd = boxes(spark, sf), F.col("seq") % 2 == 1
+    lines = b.select("image", "seq", F.col("x1").alias("ax"), F.when(odd, F.col("y2")).otherwise(F.col("y1")).alias("ay"), F.when(F.col("seq") % 3 == 0, F.col("x1")).otherwise(F.col("x2") + 9).alias("bx"), F.when(odd, F.col("y1")).otherwise(F.col("y2") + 3).alias("by"))
+    window = {"x1": F.lit(15.25), "y1": F.lit(2.5), "x2": F.lit(36.75), "y2": F.lit(8.25)}
+    got = lines.select("image", "seq", G.clip_segment(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"), window).alias("c")).where("c IS NOT NULL")
+    return got.select("image", "seq", *[R6(F.col(f"c.{n}")).alias(m) for n, m in zip(("ax", "ay", "bx", "by"), ("ax", "ay", "bx", "b_y"), strict=True)])
