@@ -59,4 +59,64 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
 NOT base_failed AND coalesce({" AND ".join(f"{m} <= f_{m}" for m in MEASURES)}, true) AS kept
 FROM r LEFT JOIN f ON f.lang = r.lang AND f.source = r.source"""
 
-ORACLES = {"op5_warc": OP5, "op6_url_filter": OP6, "op7_decontamination": OP7, "op9_quality_rules": OP9}
+_LETTERS = "ABCDE"
+_FAILS = " ".join(f"WHEN '{x}' THEN {x}" for x in _LETTERS)
+
+OP12 = rf"""WITH t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words, min(doc_id) OVER (PARTITION BY text) AS first FROM t),
+l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, len(words) < 200 AS A, 100 * len(list_distinct(words)) < 50 * len(words) AS B, 100 * (length(text) - length(regexp_replace(text, '[A-Z]+', '', 'g'))) > 3 * length(text) AS C,
+regexp_matches(text, '[#$%&*|]') AS D, coalesce(w.doc_id > first, false) AS E FROM w LEFT JOIN l ON l.doc_id = w.doc_id),
+x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c),
+o AS (SELECT a.c || b.c || c.c || d.c || e.c AS filter_order FROM x a, x b, x c, x d, x e WHERE len(list_distinct([a.c, b.c, c.c, d.c, e.c])) = 5),
+s AS (SELECT f.*, filter_order, unnest([1, 2, 3, 4, 5]) AS step FROM f, o),
+r AS (SELECT *, substr(filter_order, step, 1) AS filter, least({", ".join(f"CASE WHEN {x} THEN instr(filter_order, '{x}') ELSE 6 END" for x in _LETTERS)}) AS first_step, ({" + ".join(f"{x}::INT" for x in _LETTERS)}) AS n_fails FROM s),
+q AS (SELECT *, CASE filter {_FAILS} END AS fails FROM r),
+n AS (SELECT part, filter_order, step, filter, count(*) FILTER (first_step > step) AS kept, count(*) FILTER (first_step = step) AS removed, count(*) FILTER (fails AND first_step < step) AS redundant, count(*) FILTER (fails AND n_fails = 1) AS unique_fails,
+count(*) FILTER (first_step = step AND good = 1) AS good_lost, count(*) FILTER (first_step = step AND toxic = 1) AS toxic_lost FROM q GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, filter) AS BIGINT) AS shapley, filter FROM n"""
+
+
+def _mark(c: str) -> str:
+    return f"coalesce(octet_length(encode(CAST({c} AS VARCHAR)))::VARCHAR || ':' || CAST({c} AS VARCHAR), '-')"
+
+
+def _leaf(text: str) -> str:
+    return f"sha256({' || '.join(map(_mark, ('doc_id', 'source', 'lang', 'n_chars', text)))})"
+
+
+def _climb(name: str, start: str) -> str:
+    """All nodes of the trees over `start` (g, i, n, h), level by level."""
+    return f"{name} AS (SELECT 0 AS lvl, g, i, n, h FROM {start} UNION ALL SELECT lvl + 1, g, i // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY i)) FROM {name} WHERE n > 1 GROUP BY lvl, g, i // 3, n)"
+
+
+def _siblings(nodes: str, leaves: str) -> str:
+    """For each leaf and level the siblings left and right of its node, joined."""
+    return f"""SELECT a.g, a.i, b.lvl, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i < a.i // CAST(3 ** b.lvl AS BIGINT)), '') AS l, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i > a.i // CAST(3 ** b.lvl AS BIGINT)), '') AS r
+FROM {leaves} a JOIN {nodes} b ON b.g = a.g AND b.n > 1 AND b.i // 3 = a.i // CAST(3 ** (b.lvl + 1) AS BIGINT) GROUP BY a.g, a.i, b.lvl"""
+
+
+#: One bit of the reflected CRC-32, for which DuckDB has no function.
+_STEP = "CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
+
+OP13 = f"""WITH RECURSIVE d AS (SELECT *, coalesce('1' || source, '0') AS g, {_leaf("text")} AS h, CAST(doc_id AS VARCHAR) AS s FROM documents),
+crc AS (SELECT DISTINCT s, 1 AS p, 0 AS k, xor(4294967295::BIGINT, ascii(s[1])::BIGINT) AS c FROM d WHERE s IS NOT NULL
+UNION ALL SELECT s, CASE WHEN k = 7 THEN p + 1 ELSE p END, (k + 1) % 8, CASE WHEN k = 7 AND p < length(s) THEN xor({_STEP}, ascii(s[p + 1])::BIGINT) ELSE {_STEP} END FROM crc WHERE p <= length(s)),
+even AS (SELECT s FROM crc WHERE p > length(s) AND xor(c, 4294967295::BIGINT) % 2 = 0),
+e AS (SELECT d.*, CASE WHEN even.s IS NOT NULL THEN {_leaf("replace(text, chr(10), '')")} ELSE h END AS shown FROM d LEFT JOIN even ON even.s = d.s),
+lv AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, h) - 1 AS i, count(*) OVER (PARTITION BY g) AS n FROM e),
+{_climb("node", "lv")},
+sub AS (SELECT '' AS g, row_number() OVER (ORDER BY encode(g)) - 1 AS i, count(*) OVER () AS n, h, g AS src FROM node WHERE n = 1),
+{_climb("high", "sub")},
+own AS ({_siblings("node", "lv")}),
+top AS ({_siblings("high", "sub")}),
+path AS (SELECT g, i, lvl, l, r FROM own UNION ALL SELECT lv.g, lv.i, 1000 + top.lvl, top.l, top.r FROM lv JOIN sub ON sub.src = lv.g JOIN top ON top.i = sub.i),
+steps AS (SELECT g, i, row_number() OVER (PARTITION BY g, i ORDER BY lvl) AS k, l, r FROM path),
+proof AS (SELECT g, i, sha256(string_agg(l || r, '' ORDER BY k)) AS p FROM steps GROUP BY g, i),
+fold AS (SELECT g, i, shown AS h, 1 AS k FROM lv UNION ALL SELECT fold.g, fold.i, sha256(l || h || r), fold.k + 1 FROM fold JOIN steps ON steps.g = fold.g AND steps.i = fold.i AND steps.k = fold.k),
+last AS (SELECT g, i, arg_max(h, k) AS folded_root FROM fold GROUP BY g, i),
+root AS (SELECT h AS root FROM high WHERE n = 1)
+SELECT lv.doc_id, lv.h AS leaf, sub.h AS subroot, root, coalesce(p, sha256('')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM lv JOIN sub ON sub.src = lv.g JOIN last ON last.g = lv.g AND last.i = lv.i LEFT JOIN proof ON proof.g = lv.g AND proof.i = lv.i, root"""
+
+ORACLES = {"op5_warc": OP5, "op6_url_filter": OP6, "op7_decontamination": OP7, "op9_quality_rules": OP9, "op12_filter_audit": OP12, "op13_merkle_manifest": OP13}
