@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, dedup, interactions, langid, lm, merkle, mixing, quality, resampling, sharding, urlfilter, warc
+from . import decontam, dedup, interactions, langid, lm, merkle, mixing, quality, resampling, secrets, sharding, urlfilter, warc
 from .common import new_dir, table
 from .oracles import ORACLES  # noqa: F401
 
@@ -58,6 +58,10 @@ def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan_documents(table(spark, sf_dir, "documents"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interactions.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -66,4 +70,4 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verify_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_class_lm, op3_near_dedup, op4_importance_resampling, op5_warc, op6_url_filter, op7_decontamination, op8_language_id, op9_quality_rules, op10_shard, op12_filter_audit, op13_merkle_manifest)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_class_lm, op3_near_dedup, op4_importance_resampling, op5_warc, op6_url_filter, op7_decontamination, op8_language_id, op9_quality_rules, op10_shard, op11_secret_scan, op12_filter_audit, op13_merkle_manifest)}
