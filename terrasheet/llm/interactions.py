@@ -48,10 +48,12 @@ def document_flags(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     texts = docs.select(F.col(id_col).alias("_id"), digest.alias("_digest"))
     first = texts.groupBy("_digest").agg(F.min("_id").alias("_first"), F.max("_id").alias("_last")).where("_first < _last").select("_digest", "_first")
     flags = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(part_col), F.lit("")).alias("part"), digest.alias("_digest"), *[c.alias(k) for k, c in text_flags(text).items()])
+    # a key of its own keeps the aggregate's partitioning out of the join: both sides get exchanges, whose large partitions Spark splits
+    first = first.select(F.concat("_digest", F.lit(b"")).alias("_digest"), "_first")
     flags = flags.join(first, "_digest", "left").withColumn("E", F.coalesce(F.col("_id") > F.col("_first"), F.lit(False)))
     flags = flags.withColumn("_salt", F.when(F.col("_id").isNull(), F.xxhash64("_digest")).otherwise(F.lit(0)))
-    own = labels.select(F.col(id_col).alias("_id"), F.lit(0).cast("long").alias("_salt"), F.col(quality_col).alias("_q"), F.col(toxic_col).alias("_t")).where("_id IS NOT NULL")
-    own = own.groupBy("_id", "_salt").agg(F.max(F.coalesce(F.col("_q") == 1, F.lit(False))).alias("good"), F.max(F.coalesce(F.col("_t") == 1, F.lit(False))).alias("toxic"))
+    own = labels.select(F.col(id_col).alias("_id"), F.col(quality_col).alias("_q"), F.col(toxic_col).alias("_t")).where("_id IS NOT NULL")
+    own = own.groupBy("_id").agg(F.max(F.coalesce(F.col("_q") == 1, F.lit(False))).alias("good"), F.max(F.coalesce(F.col("_t") == 1, F.lit(False))).alias("toxic")).withColumn("_salt", F.lit(0).cast("long"))
     no = F.lit(False)
     return flags.join(own, ["_id", "_salt"], "left").select("part", "A", "B", "C", "D", "E", F.coalesce("good", no).alias("good"), F.coalesce("toxic", no).alias("toxic"))
 
