@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..operators import descriptors as D
 from ..operators import fits as T
 from ..operators import relational as J
-from ..operators import spatial as S
 from .registry import boxes, det, pairs, query, ref, table, tiles
 
 R6 = lambda c: F.round(c, 6)
@@ -70,10 +70,30 @@ def a08_enlarged_bounds(spark, sf):
 
 @query("""WITH n AS (SELECT a.grp, a.id, sqrt((b.x-a.x)*(b.x-a.x)+(b.y-a.y)*(b.y-a.y)) AS d, round(CASE WHEN atan2(b.y-a.y, b.x-a.x) < 0 THEN degrees(atan2(b.y-a.y, b.x-a.x)) + 360 ELSE degrees(atan2(b.y-a.y, b.x-a.x)) END, 9) AS az FROM det a JOIN det b ON a.grp = b.grp AND abs(a.x-b.x) <= 20 AND abs(a.y-b.y) <= 20 WHERE (b.x-a.x)*(b.x-a.x)+(b.y-a.y)*(b.y-a.y) <= 400) SELECT grp, id, round(coalesce(1-avg(CASE WHEN az BETWEEN -45 AND 45 THEN d END)/20, 2), 5) AS b0, round(coalesce(1-avg(CASE WHEN az BETWEEN 45 AND 135 THEN d END)/20, 2), 5) AS b1, round(coalesce(1-avg(CASE WHEN az BETWEEN 135 AND 225 THEN d END)/20, 2), 5) AS b2, round(coalesce(1-avg(CASE WHEN az BETWEEN 225 AND 315 THEN d END)/20, 2), 5) AS b3 FROM n GROUP BY grp, id""", "det")
 def a10_descriptors(spark, sf):
-    d = S.descriptors(det(spark, sf), 20.0)
+    d = D.descriptors(det(spark, sf), 20.0)
     return d.select("grp", "id", *[F.round(F.col("descriptor")[i], 5).alias(f"b{i}") for i in range(4)])
 
 
+def _weighted_bins() -> str:
+    """The SQL of overlapping bins of 60 degrees every 30, for two radii, with weights."""
+    cols, filled = [], []
+    for r in (18, 7):
+        for k in range(12):
+            near = f"d <= {r} AND az BETWEEN {k * 30 - 30} AND {k * 30 + 30}"
+            mean = f"CASE WHEN sum(w) FILTER ({near}) > 0 THEN sum(w * d) FILTER ({near}) / (sum(w) FILTER ({near}) + 1e-6) ELSE avg(d) FILTER ({near}) END"
+            cols.append(f"round(coalesce(1 - ({mean}) / {r}, 2), 5) AS b{len(cols)}")
+            filled.append(f"CASE WHEN count(*) FILTER ({near}) > 0 THEN 1.0 ELSE 0.0 END")
+    return f"""WITH p AS (SELECT *, (id * 37 % 100) / 100.0 AS w FROM det), n AS (SELECT a.grp, a.id, b.w, sqrt((b.x-a.x)*(b.x-a.x)+(b.y-a.y)*(b.y-a.y)) AS d, round(CASE WHEN atan2(b.y-a.y, b.x-a.x) < 0 THEN degrees(atan2(b.y-a.y, b.x-a.x)) + 360 ELSE degrees(atan2(b.y-a.y, b.x-a.x)) END, 9) AS az FROM p a JOIN p b ON a.grp = b.grp AND abs(a.x-b.x) <= 18 AND abs(a.y-b.y) <= 18)
+SELECT grp, id, {", ".join(cols)}, round(({" + ".join(filled)}) / {len(cols)}, 5) AS quality FROM n GROUP BY grp, id"""
+
+
+@query(_weighted_bins(), "det")
+def a10_weighted_descriptors(spark, sf):
+    p = det(spark, sf).withColumn("confidence", F.col("id") * 37 % 100 / 100.0)
+    d = D.descriptors(p, [18.0, 7.0], step=60, stride=30, weight="confidence")
+    return d.select("grp", "id", *[F.round(F.col("descriptor")[i], 5).alias(f"b{i}") for i in range(24)], F.round("quality", 5).alias("quality"))
+
+
 @query("""SELECT tile, count(*) AS suffixes, CAST(sum(n) AS BIGINT) AS rows FROM (SELECT CASE WHEN regexp_matches(name, '[A-Za-z]$') THEN left(name, length(name)-1) ELSE name END AS tile, CASE WHEN regexp_matches(name, '[A-Za-z]$') THEN right(name, 1) ELSE '' END AS suffix, count(*) AS n FROM tiles GROUP BY 1, 2) GROUP BY tile""", "tiles")
 def a11_nested_catalogue(spark, sf):
     """A tile's suffixes with their dates as a map, built from flat rows; the query counts what it holds."""

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from terrasheet.functions.text import partial, ratio
+from terrasheet.operators import cells as C
 from terrasheet.operators import iterative as I
 from terrasheet.operators import names as N
 from terrasheet.operators import search as V
@@ -35,6 +36,24 @@ def test_nearest_join_with_crowds_and_outliers(spark, far):
         assert got[p[0]][1] == want[1] or far
 
 
+def test_nearest_pairs_stay_few_on_clusters(spark):
+    """Dense spots of several widths, one place many times over, and a far outlier: no point meets more than a few of them."""
+    rng = random.Random(8)
+    spots = [(rng.uniform(0, 1000), rng.uniform(0, 1000), 10 ** rng.uniform(-3, 2)) for _ in range(12)]
+    one = lambda i: (i, *((lambda s: (rng.gauss(s[0], s[2]), rng.gauss(s[1], s[2])))(rng.choice(spots))))
+    ref = [one(i) for i in range(3000)] + [(5000 + i, 77.0, 77.0) for i in range(400)] + [(9000, 1e7, 1e7), (9001, None, 1.0), (9002, float("nan"), 1.0)]
+    pts = [one(i) for i in range(600)] + [(1000 + i, 77.0 + i * 1e-4, 77.0) for i in range(50)] + [(2000, None, 5.0)]
+    tree = C.build_cells(spark.createDataFrame(ref, XY))
+    asked = spark.createDataFrame(pts, XY)
+    assert C.candidates(asked, tree).count() <= 30 * len(pts)
+    got = {r.id: (r.dist, r.r_id) for r in C.nearest(asked, tree).collect()}
+    assert set(got) == {p[0] for p in pts if p[1] is not None}
+    places = [r for r in ref if r[1] is not None and not math.isnan(r[1])]
+    for p in pts:
+        if p[1] is not None:
+            assert got[p[0]] == pytest.approx(nearest(p, places), rel=1e-12)
+
+
 def test_nearest_join_of_few(spark):
     one = spark.createDataFrame([(1, 5.0, 5.0)], XY)
     assert S.nearest_join(one, one.limit(0)).count() == 0 and S.nearest_join(one.limit(0), one).count() == 0

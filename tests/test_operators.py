@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from terrasheet.functions import geometry as G
 from terrasheet.functions import text as X
-from terrasheet.operators import fits, iterative, relational, spatial
+from terrasheet.operators import descriptors, fits, iterative, relational, spatial
 
 
 def value(spark, c):
@@ -91,7 +91,7 @@ def test_radius_and_nearest(spark):
 
 def test_descriptor_case(spark):
     d = spark.createDataFrame([(0, "g", 0.0, 0.0), (1, "g", 3.0, 0.0), (2, "g", 0.0, 4.0)], "id long, grp string, x double, y double")
-    got = {r.id: r.descriptor for r in spatial.descriptors(d, 10.0).collect()}
+    got = {r.id: r.descriptor for r in descriptors.descriptors(d, 10.0).collect()}
     assert got[0] == pytest.approx([0.85, 0.6, 2, 2]) and got[1] == pytest.approx([1, 0.5, 0.7, 2])
 
 
