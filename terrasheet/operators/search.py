@@ -25,7 +25,7 @@ def nearest_vectors(queries: DataFrame, vectors: DataFrame, k: int, block: int =
 
     Distances are compared to nine places. Queries go to the tasks in blocks; a
     task sends its own k best for each query, so that no pair is shuffled beyond
-    those. Null vectors are left out; ids must be whole numbers.
+    those. Null vectors are left out, no query gives no row; ids must be whole numbers.
     """
     spark = vectors.sparkSession
     rows = vectors.where("vector IS NOT NULL").select("id", "vector")
@@ -34,6 +34,8 @@ def nearest_vectors(queries: DataFrame, vectors: DataFrame, k: int, block: int =
     found = None
     for b in range(blocks):
         own = queries.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).orderBy("id").collect()
+        if not own:
+            continue
         ids, matrix = np.array([r[0] for r in own], np.int64), np.array([r[1] for r in own], float).reshape(len(own), -1)
         shared = spark.sparkContext.broadcast((ids, matrix))
 
@@ -42,8 +44,6 @@ def nearest_vectors(queries: DataFrame, vectors: DataFrame, k: int, block: int =
             norm = np.sqrt((q * q).sum(axis=1))
             best = np.empty((len(ids), 0)), np.empty((len(ids), 0), np.int64)
             for batch in batches:
-                if not len(ids):
-                    continue
                 other = batch.column(0).to_numpy()
                 v = np.array(batch.column(1).to_pylist(), float)
                 with np.errstate(divide="ignore", invalid="ignore"):
@@ -57,6 +57,8 @@ def nearest_vectors(queries: DataFrame, vectors: DataFrame, k: int, block: int =
 
         part = rows.mapInArrow(search, "id long, other long, dist double")
         found = part if found is None else found.unionByName(part)
+    if found is None:
+        found = spark.createDataFrame([], "id long, other long, dist double")
     place = F.row_number().over(Window.partitionBy("id").orderBy("dist", "other"))
     return found.withColumn("place", place).where(F.col("place") <= k)
 

@@ -183,7 +183,9 @@ def a28_kmeans(spark, sf):
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import VectorAssembler
 
-    d = VectorAssembler(inputCols=["y"], outputCol="features").transform(det(spark, sf))
+    d = VectorAssembler(inputCols=["y"], outputCol="features", handleInvalid="skip").transform(det(spark, sf))
+    if d.isEmpty():  # no values, no clusters
+        return d.select(F.lit(0).alias("prediction"), F.lit(0).cast("long").alias("n"), F.col("y").alias("lo"), F.col("y").alias("hi"))
     return KMeans(k=3, seed=1).fit(d).transform(d).groupBy("prediction").agg(F.count(F.lit(1)).alias("n"), R6(F.min("y")).alias("lo"), R6(F.max("y")).alias("hi"))
 
 

@@ -161,8 +161,8 @@ def i09_robust_fit(spark, sf):
     off = F.when(F.col("id") % 10 == 0, 500.0 + F.col("id") % 37).otherwise(0.0)
     m = p.select("id", "x", "y", (F.col("x") + 20 + off).alias("tx"), (F.col("y") - 30 - 2 * off).alias("ty"), F.lit(1.0).alias("weight"))
     fit, left = I.robust_fit(m)
-    a, b, tx, ty = fit
-    return left.agg(F.count(F.lit(1)).alias("n")).select("n", *[F.lit(round(v, 6)).alias(c) for c, v in (("a", a), ("b", b), ("tx0", tx), ("ty0", ty))])
+    values = [None if fit is None else round(v, 6) for v in fit or [None] * 4]
+    return left.agg(F.count(F.lit(1)).alias("n")).select("n", *[F.lit(v).cast("double").alias(c) for c, v in zip(("a", "b", "tx0", "ty0"), values, strict=True)])
 
 
 @query("""SELECT 'sheet' || s_suppkey || '.tfw' AS name, 0.25::DOUBLE AS a, round(s_acctbal, 2) AS c, -0.25::DOUBLE AS e, CAST(s_suppkey AS DOUBLE) AS f FROM supplier""")

@@ -152,7 +152,7 @@ def m29_sectors(spark, sf):
 def m31_cosine_distance(spark, sf):
     """Distances to one vector, which goes into the plan as a constant."""
     e = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
-    one = e.where("vec_id = 0").first()
+    one = e.where("vec_id = 0").first() or {"e": [0.0]}  # without it no distance
     return e.select(F.col("vec_id").alias("id"), F.round(G.cosine_distance(F.col("e"), F.array(*map(F.lit, one["e"]))), 5).alias("dist"))
 
 
