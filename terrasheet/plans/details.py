@@ -30,13 +30,6 @@ def p03_p05_threshold_and_padding(spark, sf):
     return boxes(spark, sf).where((F.col("x1") > 20) & cx.between(25 - 10, 40 + 10) & cy.between(3 - 1, 5 + 1)).select("image", "seq")
 
 
-@query("""SELECT id FROM ref WHERE (x >= 100 AND x <= 400 AND y >= -50 AND y <= 200 AND x - 100 + (y + 50) <= 400)""", "ref")
-def p06_clip_to_polygon(spark, sf):
-    """Points inside a polygon: first its bounding box, then the ring."""
-    ring = F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in ((99.999999, -50.000001), (400.000001, -50.000001), (400.000001, 50.000001), (250.000001, 200.000001), (99.999999, 200.000001), (99.999999, -50.000001))])
-    return ref(spark, sf).where(F.col("x").between(100, 400) & F.col("y").between(-50, 200)).where(L.contains(ring, F.col("x"), F.col("y"))).select("id")
-
-
 @query("""SELECT id, coalesce(CAST(g AS VARCHAR), 'none') AS geoid, CAST(x AS VARCHAR) IS NOT NULL AS has_x FROM (SELECT id, x, CASE WHEN id % 4 = 0 THEN NULL ELSE id END AS g FROM ref) WHERE x IS NOT NULL""", "ref")
 def p10_p12_nulls_and_strings(spark, sf):
     r = ref(spark, sf).withColumn("g", F.when(F.col("id") % 4 != 0, F.col("id"))).dropna(subset=["x"])
