@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name
+from .common import free_name, release, store
 
 # The patterns of the base findings and their least lengths.
 ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -335,8 +335,12 @@ def labelled_findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 def fit_network(docs: DataFrame, findings: DataFrame | None = None, most: int = FIT_FINDINGS, recall: float = RECALL, **columns: str) -> Network | None:
     """The network for `docs`, from findings (label, left, value, right) given or those of the fixed patterns: at most `most` distinct ones of either label, with the least hashes."""
     rows = labelled_findings(docs, **columns) if findings is None else findings.withColumn("h", F.xxhash64("left", "value", "right"))
-    of = lambda label: [(r[1] or "", r[2], r[3] or "") for r in rows.where((F.col("label") == label) & (F.col("value") != "")).select("h", "left", "value", "right").distinct().orderBy("h", "left", "value", "right").limit(most).collect()]
-    return train(of(1), of(0), recall)
+    # both labels are taken from one scan of the texts
+    rows = store(rows.where("value <> ''").select("label", "h", "left", "value", "right").distinct(), "findings")
+    of = lambda label: [(r[1] or "", r[2], r[3] or "") for r in rows.where(F.col("label") == label).orderBy("h", "left", "value", "right").limit(most).select("h", "left", "value", "right").collect()]
+    true, false = of(1), of(0)
+    release(rows)
+    return train(true, false, recall)
 
 
 def find_secrets(docs: DataFrame, network: Network | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
