@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, StringType
 
 #: Characters that OCR confuses in tile names, and what they stand for.
 CONFUSED, MEANT = "OTI€QZ", "011E07"
 #: World-file extension by image extension.
 WORLD_FILES = {"tif": "tfw", "tiff": "tfw", "png": "pgw", "jpg": "jgw", "jpeg": "jgw"}
 MONTH_DATE = r"(?i)\b(jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sep(?:tember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)\.? +(\d{1,2}), *(\d{4})"
+#: Fixed value: dates whose month may be cut off to its last letters, `ary` or `ber`.
+LOOSE_DATE = r"(?i)[A-Z]{0,10}(?:January|February|March|April|May|June|July|August|September|October|November|December|ary|ber)\s+\d{1,2},\s+\d{4}"
 
 
 def leading_digits(s: Column) -> Column:
@@ -69,6 +73,11 @@ def first_month_date(s: Column) -> Column:
     return F.nullif(F.regexp_extract(s, MONTH_DATE, 0), F.lit(""))
 
 
+def first_loose_date(s: Column) -> Column:
+    """The first text such as `January 5, 1990`, even if only the end of the month's name was read (`nuary 5, 1990`, `ber 5, 1990`); null without one."""
+    return F.nullif(F.regexp_extract(s, LOOSE_DATE, 0), F.lit(""))
+
+
 def parse_month_date(s: Column) -> Column:
     """The first date such as `Jan 5, 1990` in a text, or null."""
     m, d, y = (F.regexp_extract(s, MONTH_DATE, i) for i in (1, 2, 3))
@@ -135,3 +144,62 @@ def fuzzy_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 @F.pandas_udf(DoubleType())
 def partial_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([partial(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+
+
+def partial_alignment(text: str, key: str) -> tuple[float, int, int]:
+    """The best ratio of the key with a stretch of the text of its length or cut off by an end, and where that stretch starts and stops; the first of equal ones. A text no longer than the key is one stretch, met by the key's best one."""
+    if len(text) <= len(key):
+        return partial(text, key) or 0.0, 0, len(text)
+    best = (0.0, 0, 0)
+    for i in range(1 - len(key), len(text)):
+        score = ratio(text[max(0, i) : i + len(key)], key)
+        if score > best[0]:
+            best = (score, max(0, i), min(i + len(key), len(text)))
+    return best
+
+
+def words_sorted(s: str) -> str:
+    return " ".join(sorted(s.split()))
+
+
+def set_ratio(a: str, b: str, score) -> float:
+    """The best score among the common words and these with either side's other words."""
+    p, q = set(a.split()), set(b.split())
+    both = " ".join(sorted(p & q))
+    one, two = (" ".join(filter(None, (both, " ".join(sorted(x))))) for x in (p - q, q - p))
+    return max(score(both, one), score(both, two), score(one, two)) if both else score(one, two)
+
+
+def weighted(a: str | None, b: str | None) -> float | None:
+    """The default score of fuzzy matching, 0 to 100 in whole numbers: the best of the plain, sorted-word and common-word ratios, or of their partial forms if one text is half as long again; texts are compared in lower case without punctuation."""
+    if a is None or b is None:
+        return None
+    a, b = (re.sub(r"[\W_]", lambda m: "_" if m[0] == "_" else " ", s).lower().strip() for s in (a, b))
+    if not a or not b:
+        return 0.0
+    long = max(len(a), len(b)) / min(len(a), len(b))
+    best = ratio(a, b)
+    if long < 1.5:
+        others = [0.95 * ratio(words_sorted(a), words_sorted(b)), 0.95 * set_ratio(a, b, ratio)]
+    else:
+        scale = 0.9 if long <= 8 else 0.6
+        others = [scale * partial(a, b), 0.95 * scale * partial(words_sorted(a), words_sorted(b)), 0.95 * scale * set_ratio(a, b, partial)]
+    return float(round(max(best, *others)))
+
+
+@F.pandas_udf(DoubleType())
+def weighted_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([weighted(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+
+
+def aligned_name(s: Column, key: str) -> Column:
+    """A name as clean_name gives it, even where its key was misread: the key takes the place of the stretch most like it, and seven characters after that stay."""
+    t = F.regexp_replace(F.regexp_replace(s, " 8$", "B"), "[^A-Za-z0-9_]", "")
+    at = F.instr(t, key)
+    t = fix_confusions(F.when(at > 0, F.substring(t, at, F.length(t))).otherwise(t))
+
+    @F.pandas_udf(StringType())
+    def rest(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda x: None if x is None else x[(stop := partial_alignment(x, key)[2]) : stop + 7])
+
+    return keep_letters(F.concat(F.lit(key), rest(t)), 1)

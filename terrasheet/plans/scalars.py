@@ -39,6 +39,30 @@ def x07_clean_name(spark, sf):
     return tiles(spark, sf).select("id", X.clean_name(F.concat(F.lit("Map no. "), "name", F.lit(" 8")), "48201C").alias("clean"))
 
 
+@query("""SELECT id, name AS clean FROM tiles""", "tiles")
+def x07_aligned_name(spark, sf):
+    """The key has one wrong character in every name."""
+    wrong = F.when(F.col("id") % 3 == 0, "4B201C").when(F.col("id") % 3 == 1, "482X1C").otherwise("4820XC")
+    return tiles(spark, sf).select("id", X.aligned_name(F.concat(F.lit("Map "), wrong, F.substring("name", 7, 9)), "48201C").alias("clean"))
+
+
+@query("""WITH t AS (SELECT id, d, id % 4 AS k, CASE id % 4 WHEN 0 THEN 'Revised: ' || strftime(d, '%B') WHEN 1 THEN upper(strftime(d, '%B')) WHEN 2 THEN substr(strftime(d, '%B'), 4) ELSE 'x' END || ' ' || day(d) || ', ' || year(d) || ' and' AS s FROM tiles) SELECT id, CASE WHEN k = 3 OR (k = 2 AND NOT regexp_matches(s, '^[a-z]*(ary|ber)')) THEN NULL ELSE regexp_replace(regexp_replace(s, '^Revised: ', ''), ' and$', '') END AS date FROM t""", "tiles")
+def x14_truncated_months(spark, sf):
+    """Dates with whole months, and with months whose first three letters are lost."""
+    month, k = F.date_format("d", "MMMM"), F.col("id") % 4
+    name = F.when(k == 0, F.concat(F.lit("Revised: "), month)).when(k == 1, F.upper(month)).when(k == 2, F.substring(month, 4, 20)).otherwise("x")
+    text = F.concat(name, F.lit(" "), F.day("d").cast("string"), F.lit(", "), F.year("d").cast("string"), F.lit(" and"))
+    return tiles(spark, sf).select("id", X.first_loose_date(text).alias("date"))
+
+
+@query()
+def x10_weighted_ratio(spark, sf):
+    """The weighted score of each supplier's name with two customers' names."""
+    s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), "s_name")
+    c = table(spark, sf, "customer").select(F.explode(F.array("c_custkey", F.col("c_custkey") + 1)).alias("id"), "c_name")
+    return s.join(c, "id").select("id", "c_name", X.weighted_ratio("s_name", "c_name").alias("score"))
+
+
 @query("""SELECT id, CASE WHEN regexp_matches(name, '[A-Za-z]$') THEN left(name, length(name)-1) ELSE name END AS tile, CASE WHEN regexp_matches(name, '[A-Za-z]$') THEN right(name, 1) END AS suffix, replace(regexp_replace(name || '__1', '[^0-9_]', '', 'g'), '__', '_') AS second FROM tiles""", "tiles")
 def x12_split_name(spark, sf):
     tile, suffix = X.split_name(F.col("name"))

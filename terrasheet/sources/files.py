@@ -27,9 +27,9 @@ def parse_world_file(content: Column) -> list[Column]:
 
 
 def read_world_files(spark: SparkSession, path: str) -> DataFrame:
-    """(filename, line1..line6) of all .tfw, .pgw and .jpw files below a folder, in any case."""
+    """(filename, line1..line6) of all .tfw, .pgw, .jgw and .jpw files below a folder, in any case."""
     found = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("filename"), "value")
-    return found.where(F.lower("filename").rlike(r"\.(tfw|pgw|jpw)$")).select("filename", *parse_world_file(F.col("value")))
+    return found.where(F.lower("filename").rlike(r"\.(tfw|pgw|jgw|jpw)$")).select("filename", *parse_world_file(F.col("value")))
 
 
 def world_file_text(t: Column) -> Column:
