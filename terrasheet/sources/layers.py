@@ -256,7 +256,7 @@ def shapefiles(path: str) -> list[str]:
         return [path]
     if where.get_file_info(f"{at}/{MANIFEST}").type == fs.FileType.File:
         with where.open_input_stream(f"{at}/{MANIFEST}") as f:
-            return [f"{path}/{s}.shp" for s in json.loads(f.read())]
+            return [f"{path}/{s}.shp" for s in json.loads(f.read())["files"]]
     return sorted(f"{path}/{i.base_name}" for i in where.get_file_info(fs.FileSelector(at)) if i.base_name.lower().endswith(".shp"))
 
 
@@ -329,7 +329,8 @@ class ShapefileWriter(DataSourceWriter):
         where, at = _place(self.path)
         where.create_dir(at)
         with where.open_output_stream(f"{at}/{MANIFEST}") as f:
-            f.write(json.dumps(sorted(m.stem for m in messages if m and m.stem)).encode())
+            kinds = {f.name: f.dataType.simpleString() for f in self.schema if f.name not in (*BOX, "kind", "parts", "record", "file")}
+            f.write(json.dumps({"files": sorted(m.stem for m in messages if m and m.stem), "fields": kinds}).encode())
 
     def abort(self, messages):
         where, at = _place(self.path)
@@ -352,6 +353,14 @@ class Shapefile(DataSource):
             where, at = _place(found[0])
             with where.open_input_file(at[:-4] + ".dbf") as f:
                 fields = [StructField(n, _dbf_type(t, d)) for n, t, _, d in _dbf_fields(f.read(32) + f.read(65_535))[2]]
+        elif not self.options["path"].lower().endswith(".shp"):
+            # a layer without rows has its fields in the manifest alone
+            where, at = _place(self.options["path"])
+            if where.get_file_info(f"{at}/{MANIFEST}").type == fs.FileType.File:
+                with where.open_input_stream(f"{at}/{MANIFEST}") as f:
+                    kinds = json.loads(f.read())["fields"]
+                types = {"bigint": LongType(), "int": LongType(), "double": DoubleType(), "boolean": BooleanType(), "date": DateType()}
+                fields = [StructField(n, types.get(k, StringType())) for n, k in kinds.items()]
         place = StructType([StructField("x", DoubleType()), StructField("y", DoubleType())])
         own = [("file", StringType()), ("record", LongType()), ("kind", StringType()), ("parts", ArrayType(ArrayType(place))), *[(c, DoubleType()) for c in BOX]]
         return StructType([*[StructField(c, t) for c, t in own], *fields])
