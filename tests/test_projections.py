@@ -50,3 +50,24 @@ def test_by_own_codes_and_affine(spark):
     assert (r.a, r.e) == pytest.approx((math.degrees(0.5 / 6378137), -math.degrees(0.25 / 6378137)), rel=1e-6) and (r.b, r.d) == (0, 0)
     with pytest.raises(ValueError):
         P.projection(9999)
+
+
+def test_lookup_rounds_ties_as_sql(spark, tmp_path):
+    """Balances in cents make latitudes that end in a five in the fifth decimal, whose doubles lie on either side of it: the rows are the SQL's, digit by digit."""
+    import duckdb
+
+    from terrasheet.plans import ORACLES, QUERIES
+
+    n = 4000
+    con = duckdb.connect()
+    con.sql(f"COPY (SELECT range AS c_custkey, CAST(range * 10 + 366570 AS DOUBLE) / 100 AS c_acctbal FROM range({n})) TO '{tmp_path}/customer.parquet'")
+    con.sql(f"COPY (SELECT range AS o_orderkey, range // 2 AS o_custkey FROM range({2 * n + 4})) TO '{tmp_path}/orders.parquet'")
+    for t in ("customer", "orders"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet')")
+    want = con.sql(ORACLES["j02_reprojected_lookup"]).fetchall()
+    got = QUERIES["j02_reprojected_lookup"](spark, str(tmp_path)).collect()
+    even = lambda rows: sorted(tuple(r) for r in rows if r[0] % 2 == 0 and r[1] is not None)
+    assert len(got) == len(want) == 2 * n + 4 and even(got) == even(want) and len(even(got)) == n
+    feet = dict((r[0], tuple(r)[1:]) for r in want)
+    assert all(tuple(r)[1:] == (pytest.approx(feet[r.id][0], abs=2e-4), pytest.approx(feet[r.id][1], abs=2e-4)) for r in got if r.x is not None)
+    assert sorted(r.id for r in got if r.x is None) == [2 * n, 2 * n + 1, 2 * n + 2, 2 * n + 3]
