@@ -92,7 +92,15 @@ def balance_rows(rows: DataFrame, shards: int, n: int) -> DataFrame:
     return stay.unionByName(filled).drop("_order")
 
 
-def shard_documents(docs: DataFrame, shards: int = 24, rounds: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def in_order(placed: DataFrame, order: str) -> DataFrame:
+    """The slots of each shard anew, in the order of a column of numbers that no two rows share."""
+    least, most = placed.agg(F.min(order), F.max(order)).first()
+    # the range of the order spread over that of a hash, by which rows are dealt into buckets
+    spread = (((F.col(order) - F.lit(least or 0)) / F.lit(float((most or 0) - (least or 0) + 1)) - 0.5) * 2.0**64).cast("long")
+    return number_rows(placed.drop("slot").withColumn("_spread", spread), ["shard"], "_spread", [order], "slot", BUCKETS).drop("_spread")
+
+
+def shard_documents(docs: DataFrame, shards: int = 24, rounds: int = 5, id_col: str = "doc_id", text_col: str = "text", order_col: str | None = None) -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard) for every row, law `rows`.
 
     Shards differ by one row at most. Documents with equal texts are linked and
@@ -101,11 +109,20 @@ def shard_documents(docs: DataFrame, shards: int = 24, rounds: int = 5, id_col:
     nothing; empty texts are equal to each other. slot runs from 0 in each shard
     without gaps. Repeated rows get places of their own.
 
+    order_col: a column of whole numbers, gapless and none null or twice, such as
+    the position in a mixture; it is returned too. Shards then take rows in turn by it instead of
+    by a hash of the id, and slots follow it: read by slot, each shard goes
+    through the whole order in every `shards`-th row. Linked rows, and singles
+    that make sizes even, still leave their turn, and take their slot by the order where they go.
+
     Only ids and digests are shuffled, never texts. The driver sees counts by
     shard alone.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
+    order = [] if order_col is None else [F.col(order_col).cast("long").alias("_order_in")]
+    turn = F.xxhash64(F.col("_id"), F.lit(11)) if order_col is None else F.col("_order_in")
     slim = docs.select(
+        *order,
         F.col(id_col).alias("_id"),
         (F.octet_length(text) + 8).cast("long").alias("size"),
         F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
@@ -123,13 +140,16 @@ def shard_documents(docs: DataFrame, shards: int = 24, rounds: int = 5, id_col:
         .join(groups.where(~large).select(F.col("_digest").alias("_key"), "_copies"), "_key", "left")
         .withColumn("_large", F.coalesce("_large", F.lit(False)))
         .withColumn("_group", F.when(F.col("_large") | F.col("_copies").isNotNull(), F.col("_digest")))
-        .withColumn("shard", F.pmod(F.xxhash64(F.col("_id"), F.lit(11)), F.lit(shards)).cast("int"))
-        .select("_id", "size", "text_crc32", "_group", "_large", "_h", "shard")
+        .withColumn("shard", F.pmod(turn, F.lit(shards)).cast("int"))
+        .select("_id", "size", "text_crc32", "_group", "_large", "_h", "shard", *(["_order_in"] if order else []))
     )
     rows = cut(rows)
     capacity = max(1, n // shards)
     placed = balance_rows(propagate(rows, shards, capacity, rounds), shards, n)
-    return placed.select(F.col("_id").alias(id_col), "size", "text_crc32", F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"), F.col("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    if order:
+        placed = in_order(cut(placed), "_order_in")
+    more = [F.col("_order_in").alias(order_col)] if order else []
+    return placed.select(F.col("_id").alias(id_col), "size", "text_crc32", F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"), F.col("slot"), F.lit(None).cast("int").alias("grown_shard"), *more)
 
 
 def cut_links(placed: DataFrame) -> DataFrame:

@@ -644,6 +644,51 @@ def test_pipeline(spark, data):
     check_shards(got, 24)
 
 
+def test_shards_keep_the_mixture(spark, data):
+    """Until a source is used up, every prefix of every shard holds each source within a row of its weight."""
+    import corpus_pipeline as c
+    from terrasheet.llm import queries
+
+    rng = random.Random(8)
+    sources = [f"src{i}" for i in range(14)] + [None]
+    rows = [(i, f"text {i}", rng.choice(sources)) for i in rng.sample(range(10**6), 5000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    mixed = c.mixture(spark, docs, data)
+    got = c.shards(spark, mixed, data).collect()
+    check_shards(got, c.SHARDS)
+    own = {i: s if s in queries.MIX_SHARES else "*" for i, _, s in rows}
+    shares = {**queries.MIX_SHARES, "*": queries.OTHER_SHARE}
+    assert len(got) == len(rows) and {r.doc_id for r in got} == set(own)
+    whole = sum(shares.values())
+    for s in range(c.SHARDS):
+        line = [own[r.doc_id] for r in sorted((r for r in got if r.shard == s), key=lambda r: r.slot)]
+        left, seen = collections.Counter(line), collections.Counter()
+        for k, source in enumerate(line, 1):
+            seen[source] += 1
+            if seen[source] >= left[source] - 1:
+                break
+            assert all(abs(seen[x] - k * w / whole) < 1 for x, w in shares.items())
+        assert k > 60
+
+
+def test_shards_in_order_with_copies(spark):
+    """Copies still gather; slots follow the order."""
+    rows = [(i, f"copy {i % 50}" if i % 3 == 0 else None if i % 10 == 1 else f"own {i}", (i * 7) % 1201) for i in range(1201)]
+    got = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string, at long").repartition(4), shards=7, order_col="at").collect()
+    check_shards(got, 7)
+    assert {(r.doc_id, r.at) for r in got} == {(i, at) for i, _, at in rows}
+    for s in range(7):
+        ats = [r.at for r in sorted((r for r in got if r.shard == s), key=lambda r: r.slot)]
+        assert ats == sorted(ats)
+    places = collections.defaultdict(set)
+    for r in got:
+        if (t := rows[r.doc_id][1]) and t.startswith("copy"):
+            places[t].add(r.shard)
+    assert sum(len(p) > 1 for p in places.values()) <= 8
+    empty = sharding.shard_documents(spark.createDataFrame([], "doc_id long, text string, at long"), order_col="at")
+    assert empty.count() == 0 and empty.columns[-1] == "at"
+
+
 def test_sql_of_queries(spark, data):
     from terrasheet.llm import queries
 
