@@ -26,6 +26,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -250,6 +251,8 @@ def _contexts(ids: np.ndarray, train: np.ndarray, code: np.ndarray, tail: np.nda
 
 
 WORD_ROWS = "chunk int, at int, word binary, n long, context binary"
+#: The same once words have numbers, which are shorter and quicker to sort than words.
+NUMBER_ROWS = WORD_ROWS.replace("word binary", "number long")
 
 
 def encode_chunks(docs: DataFrame, core, kind: str) -> DataFrame:
@@ -284,52 +287,75 @@ def _by_number(words: pa.Table, column: str, end: int) -> np.ndarray:
     return out
 
 
-def word_rows(texts: DataFrame, reply: DataFrame, core) -> DataFrame:
-    """The word rows of encode_chunks by the classes that all words have in `reply`."""
+def word_rows(texts: DataFrame, reply: DataFrame) -> DataFrame:
+    """The word rows of encode_chunks by the classes that all words have in `reply`, with the words' numbers for the words."""
 
     def count(own: pa.Table, words: pa.Table) -> pa.Table:
         words = words.sort_by("at")
         ids, lengths = _ids(own)
         held = np.array(own.column("held_out").to_pylist(), bool)
-        tail = _core_classes(words.column("word").combine_chunks(), core.value, TAIL) == TAIL
+        tail = words.column("number").to_numpy() >= 0
         found = _contexts(ids, np.repeat(~held, lengths), _by_number(words, "cls", END), tail)
-        return pa.table({"chunk": words.column("chunk"), "at": words.column("at"), "word": words.column("word"), **found})
+        return pa.table({"chunk": words.column("chunk"), "at": words.column("at"), "number": words.column("number"), **found})
 
-    return texts.groupBy("chunk").cogroup(reply.groupBy("chunk")).applyInArrow(count, WORD_ROWS)
+    return texts.groupBy("chunk").cogroup(reply.groupBy("chunk")).applyInArrow(count, NUMBER_ROWS)
 
 
-def class_pairs(texts: DataFrame, reply: DataFrame) -> np.ndarray:
-    """Counts of all class pairs of training texts, ends included: CODES squared numbers. An end also stands before a text's start."""
+PACKED = "chunk int, k long, n long, counts binary, classes binary"
 
-    def count(own: pa.Table, words: pa.Table) -> pa.Table:
+
+def pack_chunks(texts: DataFrame, reply: DataFrame) -> DataFrame:
+    """One row for each chunk with the counts and classes of its words, in their order, so that the words themselves are shuffled once; and rows (k, n) with its counts of class pairs of training texts, ends included. An end also stands before a text's start."""
+
+    def pack(own: pa.Table, words: pa.Table) -> pa.Table:
         ids, _ = _ids(own)
-        code = _by_number(words, "cls", END)[ids]
+        classes = _by_number(words, "cls", END)
+        code = classes[ids]
         total = np.bincount(np.concatenate([[END], code[:-1]]) * CODES + code, minlength=CODES * CODES) if len(code) else np.zeros(0, np.int64)
         at = np.flatnonzero(total)
-        return pa.table({"k": pa.array(at), "n": pa.array(total[at])})
+        chunk = (words if words.num_rows else own).column("chunk")[0].as_py()
+        none = pa.nulls(len(at), pa.binary())
+        pairs = pa.table({"chunk": pa.array(np.full(len(at), chunk, np.int32)), "k": pa.array(at.astype(np.int64)), "n": pa.array(total[at].astype(np.int64)), "counts": none, "classes": none})
+        counts = _by_number(words, "c", 0)
+        row = pa.table([pa.array([chunk], pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([counts[:-1].tobytes()], pa.binary()), pa.array([classes[:-1].astype(np.int32).tobytes()], pa.binary())], names=pairs.column_names)
+        return pa.concat_tables([pairs, row])
+
+    return texts.where("NOT held_out").groupBy("chunk").cogroup(reply.groupBy("chunk")).applyInArrow(pack, PACKED)
+
 
-    pairs = texts.where("NOT held_out").groupBy("chunk").cogroup(reply.groupBy("chunk")).applyInArrow(count, "k long, n long")
+def class_pairs(texts: DataFrame, reply: DataFrame) -> np.ndarray:
+    return pair_counts(pack_chunks(texts, reply))
+
+
+def pair_counts(packed: DataFrame) -> np.ndarray:
+    """The counts of class pairs of all chunks: CODES squared numbers."""
     out = np.zeros(CODES * CODES)
-    for k, n in pairs.groupBy("k").agg(F.sum("n")).collect():
+    for k, n in packed.where("k IS NOT NULL").groupBy("k").agg(F.sum("n")).collect():
         out[k] = n
     return out.reshape(CODES, CODES)
 
 
 def assign(rows: DataFrame, core, log_t) -> DataFrame:
-    """Sends each word's count and class back to its chunks: (chunk, at, word, c, cls, to).
+    """Sends each word's count and class back to its chunks: (chunk, at, number, c, cls, to).
 
-    A word's rows come one after another; of them only sums and the chunks'
-    numbers are held. Rows with a null word and chunk -1 carry sums: c by class cls
+    `rows` tell words by themselves or by the numbers that they got here before:
+    below 0 for core words, -1 for the first, and above for all others, by partition. A
+    word's rows come one after another; of them only sums and the chunks'
+    numbers are held. Rows with a null number and chunk -1 carry sums: c by class cls
     (to -1: words in it; -2: tokens in it).
     """
-    schema = pa.schema([("chunk", pa.int32()), ("at", pa.int32()), ("word", pa.binary()), ("c", pa.int64()), ("cls", pa.int32()), ("to", pa.int32())])
+    schema = pa.schema([("chunk", pa.int32()), ("at", pa.int32()), ("number", pa.int64()), ("c", pa.int64()), ("cls", pa.int32()), ("to", pa.int32())])
+
+    key = "word" if "word" in rows.columns else "number"
+    kind = pa.binary() if key == "word" else pa.int64()
 
     def merge(batches):
         log = np.vstack([log_t.value, log_t.value.T])
         stats: Counter = Counter()
+        first = [TaskContext.get().partitionId() << 36]
         last: tuple | None = None
         for batch in batches:
-            word = batch.column("word")
+            word = batch.column(key)
             if not len(word):
                 continue
             where, n = batch.column("chunk").to_numpy().astype(np.int64) << 32 | batch.column("at").to_numpy(), batch.column("n").to_numpy()
@@ -344,41 +370,51 @@ def assign(rows: DataFrame, core, log_t) -> DataFrame:
             ctx = np.bincount(np.repeat(which, np.diff(off)) * (2 * CODES) + codes, times, len(start) * 2 * CODES).reshape(-1, 2 * CODES)
             rows = np.diff(np.append(start, len(word)))
             if last is not None and last[0] == word[0].as_py():
-                word = pa.concat_arrays([pa.repeat(pa.scalar(last[0], pa.binary()), len(last[3])), word])
+                word = pa.concat_arrays([pa.repeat(pa.scalar(last[0], kind), len(last[3])), word])
                 total[0] += last[1]
                 ctx[0] += last[2]
                 where = np.concatenate([last[3], where])
                 rows[0] += len(last[3])
             elif last is not None:
-                yield from _reply(pa.repeat(pa.scalar(last[0], pa.binary()), len(last[3])), np.array([len(last[3])]), np.array([last[1]]), last[2][None], last[3], core.value, log, stats, schema)
+                yield from _reply(pa.repeat(pa.scalar(last[0], kind), len(last[3])), np.array([len(last[3])]), np.array([last[1]]), last[2][None], last[3], core.value, log, stats, first, schema)
             end = len(word) - rows[-1]
             last = (word[-1].as_py(), total[-1], ctx[-1].copy(), where[end:].copy())
-            yield from _reply(word.slice(0, end), rows[:-1], total[:-1], ctx[:-1], where[:end], core.value, log, stats, schema)
+            yield from _reply(word.slice(0, end), rows[:-1], total[:-1], ctx[:-1], where[:end], core.value, log, stats, first, schema)
         if last is not None:
-            yield from _reply(pa.repeat(pa.scalar(last[0], pa.binary()), len(last[3])), np.array([len(last[3])]), np.array([last[1]]), last[2][None], last[3], core.value, log, stats, schema)
+            yield from _reply(pa.repeat(pa.scalar(last[0], kind), len(last[3])), np.array([len(last[3])]), np.array([last[1]]), last[2][None], last[3], core.value, log, stats, first, schema)
         rows = [(a, b, int(v)) for (a, b), v in stats.items()]
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array([-1] * len(rows), pa.int32()), pa.array([None] * len(rows), pa.int32()), pa.array([None] * len(rows), pa.binary()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32())], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array([-1] * len(rows), pa.int32()), pa.array([None] * len(rows), pa.int32()), pa.array([None] * len(rows), pa.int64()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32())], schema=schema)
 
-    return rows.repartition("word").sortWithinPartitions("word").mapInArrow(merge, "chunk int, at int, word binary, c long, cls int, to int")
+    return rows.repartition(key).sortWithinPartitions(key).mapInArrow(merge, "chunk int, at int, number long, c long, cls int, to int")
 
 
-def _reply(names, rows, total, ctx, where, core, log, stats, schema):
+def _reply(names, rows, total, ctx, where, core, log, stats, first, schema):
     """Classes of whole words, the sums they add to, and the rows for their chunks. Of names and where, each word has as many as `rows` says, one word after another."""
     if not len(rows):
         return
-    cls = _core_classes(names.take(pa.array(np.cumsum(rows) - rows)), core, -1)
-    tail = cls < 0
+    names = names.take(pa.array(np.cumsum(rows) - rows))
+    top, classes = core
+    if pa.types.is_integer(names.type):
+        number = names.to_numpy()
+    else:
+        found = _among(names, top)
+        number = -1 - found.astype(np.int64)
+        new = np.flatnonzero(found == len(top))
+        number[new] = first[0] + np.arange(len(new))
+        first[0] += len(new)
+    tail = number >= 0
+    cls = np.append(classes, -1)[np.where(tail, len(top), -1 - number)]
     # log probability of the neighbours with the word in each class; unknown neighbours say nothing
     cls[tail] = np.argmax((ctx[tail] @ log)[:, :CLASSES], axis=1)
     seen = total > 0
     for k in np.unique(cls[seen]):
         stats[(int(k), -1)] += int((cls[seen] == k).sum())
         stats[(int(k), -2)] += int(total[seen & (cls == k)].sum())
-    total, cls = np.repeat(total, rows), np.repeat(cls, rows)
+    total, cls, number = np.repeat(total, rows), np.repeat(cls, rows), np.repeat(number, rows)
     for lo in range(0, len(where), 50_000):
         part = slice(lo, lo + 50_000)
-        yield pa.RecordBatch.from_arrays([pa.array((where[part] >> 32).astype(np.int32)), pa.array((where[part] & 0xFFFFFFFF).astype(np.int32)), names.slice(lo, 50_000), pa.array(total[part], pa.int64()), pa.array(cls[part], pa.int32()), pa.array(np.zeros(len(where[part]), np.int32))], schema=schema)
+        yield pa.RecordBatch.from_arrays([pa.array((where[part] >> 32).astype(np.int32)), pa.array((where[part] & 0xFFFFFFFF).astype(np.int32)), pa.array(number[part], pa.int64()), pa.array(total[part], pa.int64()), pa.array(cls[part], pa.int32()), pa.array(np.zeros(len(where[part]), np.int32))], schema=schema)
 
 
 class Model:
@@ -416,11 +452,13 @@ class Model:
         return LAMBDA * p + (1 - LAMBDA) * uni
 
 
-def score_chunks(docs: DataFrame, reply: DataFrame, model, texts: int, kind: str) -> DataFrame:
+def score_chunks(docs: DataFrame, packed: DataFrame, model, texts: int, kind: str) -> DataFrame:
     def score(own: pa.Table, words: pa.Table) -> pa.Table:
         m: Model = model.value
-        count = _by_number(words, "c", texts)
-        cls = _by_number(words, "cls", CLASSES)
+        # a chunk of held-out texts without a word has no row
+        own_counts, own_classes = (b"".join(words.column(c).to_pylist()) for c in ("counts", "classes"))
+        count = np.append(np.frombuffer(own_counts, np.int64), texts)
+        cls = np.append(np.frombuffer(own_classes, np.int32), CLASSES).astype(np.int64)
         cls[:-1][count[:-1] == 0] = CLASSES + 1
         ids, lengths = _ids(own)
         c, k = count[ids], cls[ids]
@@ -441,7 +479,7 @@ def score_chunks(docs: DataFrame, reply: DataFrame, model, texts: int, kind: str
         )
 
     schema = f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return docs.groupBy("chunk").cogroup(reply.groupBy("chunk")).applyInArrow(score, schema)
+    return docs.groupBy("chunk").cogroup(packed.groupBy("chunk")).applyInArrow(score, schema)
 
 
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", core: int = CORE, rounds: int = ROUNDS, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
@@ -478,12 +516,13 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reply = store(assign(words, own, log_t), "words", "zstd")
     delete(docs.sparkSession, f"{path}/kind=word")
     for r in range(TAIL_ROUNDS):
-        found = word_rows(encoded, reply.where("chunk >= 0").select("chunk", "at", "word", "cls"), own)
+        found = word_rows(encoded, reply.where("chunk >= 0").select("chunk", "at", "number", "cls"))
         answers = assign(found, own, log_t)
-        reply, old = store(answers.drop("word") if r == TAIL_ROUNDS - 1 else answers, "words", "zstd"), reply
+        reply, old = store(answers.drop("number") if r == TAIL_ROUNDS - 1 else answers, "words", "zstd"), reply
         release(old)
     sums = [(r[0], r[1], r[2]) for r in reply.where("chunk = -1").groupBy("cls", "to").agg(F.sum("c")).collect()]
-    reply = reply.where("chunk >= 0").select("chunk", "at", "c", "cls")
-    model = sc.broadcast(Model(class_pairs(encoded, reply), sums, texts))
-    scored = score_chunks(encoded, reply, model, texts, kind)
+    packed = store(pack_chunks(encoded, reply.where("chunk >= 0").select("chunk", "at", "c", "cls")), "packed", "zstd")
+    release(reply)
+    model = sc.broadcast(Model(pair_counts(packed), sums, texts))
+    scored = score_chunks(encoded, packed.where("k IS NULL").select("chunk", "counts", "classes"), model, texts, kind)
     return scored.withColumnRenamed("id", id_col)

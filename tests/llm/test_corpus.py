@@ -195,6 +195,36 @@ def test_class_pairs(spark):
     assert (got == want).all()
 
 
+def test_words_get_numbers(spark):
+    """Numbers stand for words after the first reply: below 0 for core words, one for each other word; replies by number are those by word."""
+    sc = spark.sparkContext
+    rng = random.Random(3)
+    words = [b"a", b"b"] + [f"w{i}".encode() for i in range(60)]
+    own = sc.broadcast((words[:2], np.array([7, 9])))
+    log_t = sc.broadcast(np.log(np.random.default_rng(1).random((lm.CODES, lm.CODES)) + 0.1))
+    rows, name = [], {}
+    for chunk in range(5):
+        for at, w in enumerate(rng.sample(words, 40)):
+            ctx = np.array([rng.randrange(2 * lm.CODES) | rng.randrange(1, 9) << lm.SHIFT for _ in range(3)] if w not in words[:2] else [], np.int32)
+            rows.append((chunk, at, w, rng.randrange(4), ctx.tobytes()))
+            name[chunk, at] = w
+    first = lm.assign(spark.createDataFrame(rows, lm.WORD_ROWS).repartition(3), own, log_t).collect()
+    number = {(r.chunk, r.at): r.number for r in first if r.chunk >= 0}
+    assert set(number) == set(name) and len({(name[k], n) for k, n in number.items()}) == len(set(name.values())) == len(set(number.values()))
+    assert all((n < 0) == (name[k] in words[:2]) and (n >= 0 or words[-1 - n] == name[k]) for k, n in number.items())
+    again = lm.assign(spark.createDataFrame([(c, at, number[c, at], n, ctx) for c, at, _, n, ctx in rows], lm.NUMBER_ROWS).repartition(3), own, log_t).collect()
+    part = lambda rs: sorted((r.chunk, r.at, r.number, r.c, r.cls) for r in rs if r.chunk >= 0)
+    sums = lambda rs: sum((collections.Counter({(r.cls, r.to): r.c}) for r in rs if r.chunk < 0), collections.Counter())
+    assert part(first) == part(again) and sums(first) == sums(again)
+
+
+def test_class_lm_chunks_of_held_out_texts_without_words(spark):
+    out = [i for i in range(400) if zlib.crc32(str(i).encode()) % 10 == 0]
+    rows = [(i, "") for i in out] + [(1, "a b a")]
+    got = lm.score_documents(spark.createDataFrame(rows, "doc_id long, text string"), core=2, rounds=1, chunk_bytes=1).collect()
+    assert lm_rows(got) == brute_lm(rows)
+
+
 def test_split_words():
     texts = ["Aa  b\x0bC", "", None, "x", "y z", " \t\r\n\x0c", "É\u00a0É \x1f\x00 ß", " lead and trail ", "", "end", "long" * 5000]
     low = lambda t: re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (t or "").encode()))
