@@ -10,10 +10,11 @@ from __future__ import annotations
 
 from collections import Counter
 from functools import lru_cache
+from itertools import chain, compress, islice
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,10 +27,14 @@ UNDETERMINED = "und"
 SMOOTHING = 0.05
 #: More languages than this would make the model too large to send to every task: MAX_LANGUAGES * 32,000 * 8 bytes.
 MAX_LANGUAGES = 256
-#: Words whose likelihoods a Python worker holds; the table is emptied when full.
-CACHED_WORDS = 400_000
-#: Texts whose words are looked up together.
-ROWS_TOGETHER = 1000
+#: Words whose counts or likelihoods a Python worker holds before it makes room; with more than FEW_LANGUAGES, as many less likelihoods.
+WORDS_HELD = 100_000
+#: Texts whose words are looked up together, and their bytes if there are several; fewer bytes with more than FEW_LANGUAGES.
+ROWS_TOGETHER, BYTES_TOGETHER = 1000, 4 << 20
+#: Words that the vocabulary segments together.
+WORDS_TOGETHER = 10_000
+#: Up to so many, the sums over languages are small beside the words.
+FEW_LANGUAGES = 8
 #: Words up to this length are summed side by side.
 TOGETHER = 40
 #: Letters of any script: Unicode categories L*, and no digits, fractions or numerals.
@@ -55,37 +60,58 @@ def pieces(path: str):
     return sp, table, bytes_, max(map(len, table)), Lookup(table)
 
 
+def share(size: int, languages: int) -> int:
+    """What is left of a size if it shrinks with the number of languages above FEW_LANGUAGES."""
+    return max(1, size * FEW_LANGUAGES // max(FEW_LANGUAGES, languages))
+
+
+def stretches(batch: pa.RecordBatch, text_at: int, most: int = BYTES_TOGETHER):
+    """The rows of a batch in runs of ROWS_TOGETHER or fewer, whose texts have `most` bytes or less unless a run is one row."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text_at)), 0).to_numpy(), dtype=np.int64)
+    lo = before = 0
+    while lo < batch.num_rows:
+        hi = min(lo + ROWS_TOGETHER, max(lo + 1, int(np.searchsorted(ends, before + most, "right"))))
+        yield batch.slice(lo, hi - lo)
+        lo, before = hi, int(ends[hi - 1])
+
+
 def piece_counts(docs: DataFrame, path: str, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(lang, piece, n): how often the vocabulary's own segmentation of the words uses each piece. Partial sums leave each task."""
 
-    def count(frames):
+    def count(batches):
         sp = pieces(path)[0]
         total: dict[str, np.ndarray] = {}
+        found: dict[str, Counter] = {}
+
+        def segment():
+            for lang, words in found.items():
+                left = iter(words.items())
+                while part := list(islice(left, WORDS_TOGETHER)):
+                    ids = sp.encode([w for w, _ in part], num_threads=1)
+                    weight = np.repeat(np.array([k for _, k in part], np.float64), np.fromiter(map(len, ids), np.int64, len(ids)))
+                    n = np.bincount(np.fromiter(chain.from_iterable(ids), np.int64, len(weight)), weight, sp.get_piece_size())
+                    total[lang] = total[lang] + n if lang in total else n
+                if len(total) > MAX_LANGUAGES:
+                    yield from sums()
+            found.clear()
 
         def sums():
             for lang, n in total.items():
                 at = np.flatnonzero(n)
-                yield pd.DataFrame({"lang": lang, "piece": at, "n": n[at].astype(np.int64)})
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(n[at].astype(np.int64))], names=["lang", "piece", "n"])
             total.clear()
 
-        for pdf in frames:
-            for lang, texts in pdf.groupby("lang")["text"]:
-                words = Counter()
-                for t in texts:
-                    words.update(split_words(t))
-                if not words:
-                    continue
-                ids = sp.encode(list(words), num_threads=1)
-                flat = np.fromiter((i for x in ids for i in x), np.int64)
-                weight = np.repeat(np.fromiter(words.values(), np.float64, len(words)), np.fromiter(map(len, ids), np.int64, len(ids)))
-                n = np.bincount(flat, weight, sp.get_piece_size())
-                total[lang] = total[lang] + n if lang in total else n
-                if len(total) > MAX_LANGUAGES:
-                    yield from sums()
+        for whole in batches:
+            for batch in stretches(whole, 1):
+                for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    found.setdefault(lang, Counter()).update(split_words(text))
+                if sum(map(len, found.values())) > WORDS_HELD or len(found) > MAX_LANGUAGES:
+                    yield from segment()
+        yield from segment()
         yield from sums()
 
     rows = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
-    return rows.mapInPandas(count, "lang string, piece int, n long").groupBy("lang", "piece").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(count, "lang string, piece int, n long").groupBy("lang", "piece").agg(F.sum("n").alias("n"))
 
 
 def train(docs: DataFrame, path: str = VOCABULARY, text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray]:
@@ -183,8 +209,9 @@ def likelihoods(words: list[str], prob: np.ndarray, table: dict[str, int], bytes
             for k in at:
                 out[k] = word_likelihood(words[k], prob, table, bytes_, most)
             continue
-        for lo in range(0, len(at), 4096):
-            part = at[lo : lo + 4096]
+        step = share(4096, prob.shape[1])
+        for lo in range(0, len(at), step):
+            part = at[lo : lo + step]
             texts = [MARK + words[k] for k in part]
             h = _prefix_hashes(texts)
             sums = np.zeros((length + 2, len(part), prob.shape[1]))
@@ -228,25 +255,32 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], path: str = VO
         names, prob = shared.value
         _, table, bytes_, most, lookup = pieces(path)
         seen: dict[str, int] = {}
-        held = np.zeros((0, len(names)))
+        held, uses = np.zeros((0, len(names))), np.zeros(0, np.int64)
         for whole in batches:
-            for lo in range(0, whole.num_rows, ROWS_TOGETHER):
-                batch = whole.slice(lo, ROWS_TOGETHER)
-                texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
-                words = [split_words(t) if names and t is not None and LETTER.search(t) else None for t in texts]
-                if len(seen) > CACHED_WORDS:
-                    seen, held = {}, held[:0]
-                fresh = list({w for ws in words if ws for w in ws if w not in seen})
-                held = np.vstack([held, likelihoods(fresh, prob, table, bytes_, most, lookup)]) if fresh else held
-                for w in fresh:
-                    seen[w] = len(seen)
+            text_at = whole.schema.get_field_index(text_col)
+            for batch in stretches(whole, text_at, share(BYTES_TOGETHER, len(names))):
+                if len(seen) > share(WORDS_HELD, len(names)):  # what was found once makes way, or everything if that is little
+                    again = uses > 1
+                    if 2 * again.sum() > len(again):
+                        again[:] = False
+                    seen = {w: k for k, w in enumerate(compress(seen, again.tolist()))}
+                    held, uses = held[again], np.zeros(len(seen), np.int64)
+                known, ids = len(seen), []
+                for t in batch.column(text_at).to_pylist():
+                    words = split_words(t) if names and t is not None and LETTER.search(t) else None
+                    ids.append(words and np.fromiter((seen.setdefault(w, len(seen)) for w in words), np.int32, len(words)))
+                if len(seen) > known:
+                    held = np.vstack([held, likelihoods(list(islice(seen, known, None)), prob, table, bytes_, most, lookup)])
+                    uses = np.concatenate([uses, np.zeros(len(seen) - known, np.int64)])
+                if there := [at for at in ids if at is not None]:
+                    uses += np.bincount(np.concatenate(there), minlength=len(uses))
                 labels, scores = [], []
-                for ws in words:
-                    if ws is None:
+                for at in ids:
+                    if at is None:
                         labels.append(UNDETERMINED)
                         scores.append(0.0)
                         continue
-                    total = held[[seen[w] for w in ws]].sum(axis=0)
+                    total = held[at].sum(axis=0)
                     best = int(np.argmax(total))
                     labels.append(names[best])
                     scores.append(float(1.0 / np.exp(np.clip(total - total[best], -700, 0)).sum()))

@@ -2,11 +2,13 @@
 
 import base64
 import collections
+import contextlib
 import gzip
 import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import duckdb
@@ -582,6 +584,77 @@ def test_languages_odd(odd, none):
     assert {r.lang_pred for r in langid.identify(odd.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+@pytest.fixture
+def in_tasks(docs, monkeypatch):
+    """The functions that are given to mapInArrow, and what mapInPandas gets."""
+    taken = []
+    for name in ("mapInArrow", "mapInPandas"):
+        monkeypatch.setattr(type(docs), name, lambda self, f, schema: taken.append(f) or self.limit(0))
+    return taken
+
+
+def language_model():
+    rng = np.random.default_rng(1)
+    prob = rng.random((langid.pieces(langid.VOCABULARY)[0].get_piece_size(), 3))
+    return ["a", "b", "c"], np.log(prob / prob.sum(axis=0))
+
+
+def test_long_texts_are_judged_in_bounded_memory(docs, in_tasks, monkeypatch):
+    langid.predict(docs.select("doc_id", "text"), language_model())
+    monkeypatch.setattr(langid, "likelihoods", lambda words, prob, *_: np.zeros((len(words), prob.shape[1])))
+    batch = pa.RecordBatch.from_pydict({"doc_id": range(500), "text": [" ".join(f"w{(7 * i + j) % 250_000:x}" for j in range(i * 6000, i * 6000 + 6000)) for i in range(500)]})
+    tracemalloc.start()
+    try:
+        rows = sum(b.num_rows for b in in_tasks[0]([batch]))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert rows == 500 and peak < 100e6
+
+
+def test_pieces_are_counted_in_bounded_memory(docs, in_tasks):
+    with contextlib.suppress(Exception):  # the sum's columns aren't there
+        langid.piece_counts(docs, langid.VOCABULARY)
+    words = [f"{k}" for k in range(20_000)]
+    texts = [" ".join(words[k % 20 * 1000 : k % 20 * 1000 + 1000] * 6) for k in range(500)]
+    batch = pa.RecordBatch.from_pydict({"lang": ["a", "b"] * 250, "text": texts})
+    langid.pieces(langid.VOCABULARY)
+    tracemalloc.start()
+    try:
+        sums = collections.Counter()
+        for b in in_tasks[0]([batch]):
+            for lang, _, n in zip(*b.to_pydict().values()):
+                sums[lang] += n
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    sp = langid.pieces(langid.VOCABULARY)[0]
+    length = {w: len(sp.encode(w)) for w in words}
+    want = collections.Counter()
+    for lang, text in zip(["a", "b"] * 250, texts):
+        want[lang] += sum(length[w] for w in text.split())
+    assert sums == want and peak < 40e6
+
+
+def test_words_that_make_way_are_scored_alike(docs, in_tasks, monkeypatch):
+    rng = random.Random(3)
+    texts = [" ".join(rng.choices(WORDS, k=rng.randint(1, 60))) for _ in range(300)] + [None, "", "12"]
+    batches = [pa.RecordBatch.from_pydict({"doc_id": [1] * len(texts), "text": texts})] * 2
+    langid.predict(docs.select("doc_id", "text"), language_model())
+    whole = [r for b in in_tasks[0](batches) for r in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True)]
+    monkeypatch.setattr(langid, "ROWS_TOGETHER", 3)
+    monkeypatch.setattr(langid, "WORDS_HELD", 90)
+    parts = [r for b in in_tasks[0](batches) for r in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True)]
+    assert parts == whole and [r[2] for r in parts[-3:]] == ["und"] * 3
+
+
+def test_stretches_cover_a_batch():
+    texts = ["a" * 30, None, "", "é" * 10, "b" * 200, "c", None]
+    batch = pa.RecordBatch.from_pydict({"i": range(7), "text": texts}).slice(1)
+    got = [b.column(0).to_pylist() for b in langid.stretches(batch, 1, 50)]
+    assert got == [[1, 2, 3], [4], [5, 6]] and list(langid.stretches(batch.slice(6), 1)) == []
+
+
 # quality rules
 
 
