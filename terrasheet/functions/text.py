@@ -147,12 +147,12 @@ def partial_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def partial_alignment(text: str, key: str) -> tuple[float, int, int]:
-    """The best ratio of the key with a stretch of the text of its length or cut off by an end, and where that stretch starts and stops; the first of equal ones. A text no longer than the key is one stretch, met by the key's best one."""
+    """The best ratio of the key with a stretch of the text of its length or cut off by an end, and where that stretch starts and stops; the first of equal ones. What an end cuts off counts as wrong characters, so that the end of a longer name isn't taken for the key. A text no longer than the key is one stretch, met by the key's best one."""
     if len(text) <= len(key):
         return partial(text, key) or 0.0, 0, len(text)
     best = (0.0, 0, 0)
     for i in range(1 - len(key), len(text)):
-        score = ratio(text[max(0, i) : i + len(key)], key)
+        score = 100.0 * common_length(key, text[max(0, i) : i + len(key)]) / len(key)
         if score > best[0]:
             best = (score, max(0, i), min(i + len(key), len(text)))
     return best

@@ -55,3 +55,14 @@ def test_names_with_misread_keys(spark):
     d = spark.createDataFrame([(n,) for n in names], "s string")
     got = {r.s: r.n for r in d.select("s", X.aligned_name(F.col("s"), "48201C").alias("n")).collect()}
     assert got == names
+
+
+def test_the_end_of_a_name_is_not_its_key():
+    # five of six characters at the end, cut off by it, against five of six in the misread key
+    assert X.partial_alignment("MAP482X1C4821C", "48201C")[1:] == (3, 9)
+    assert X.partial_alignment("8201C0225", "48201C")[1:] == (0, 5)
+
+
+def test_misread_names_that_end_like_their_key(spark):
+    d = spark.createDataFrame([("Map 482X1C4821C",), ("Map 4B201C8201C",), ("Map 4820XC4820C",)], "s string")
+    assert {r.n for r in d.select(X.aligned_name(F.col("s"), "48201C").alias("n")).collect()} == {"48201C4821C", "48201C8201C", "48201C4820C"}
