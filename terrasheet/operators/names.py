@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as X
+from .lineage import cut
 
 #: Formats of written dates, tried in order.
 DATE_FORMATS = ("MMMM d, yyyy", "MMM d, yyyy", "d MMMM yyyy", "d MMM yyyy", "M/d/yyyy", "M-d-yyyy", "yyyy-M-d")
@@ -92,7 +95,12 @@ def loosened_ratio(candidates: DataFrame, grp: str, start: float, enough: int =
     """
     w = Window.partitionBy(grp, "id").orderBy("dist", "r_id")
     two = candidates.withColumn("_n", F.row_number().over(w)).withColumn("d2", F.lead("dist").over(w)).where("_n = 1 AND d2 IS NOT NULL")
-    two = two.select(grp, "id", "r_id", F.col("dist").alias("d1"), "d2", F.when(F.col("d2") > 0, F.col("dist") / F.col("d2")).otherwise(1.0).alias("_q"))
+    return loosened_two(two.select(grp, "id", "r_id", F.col("dist").alias("d1"), "d2"), grp, start, enough, by, most)
+
+
+def loosened_two(two: DataFrame, grp: str, start: float, enough: int = 3, by: float = 0.01, most: float = 1.0) -> DataFrame:
+    """loosened_ratio from each point's best candidate and the costs of its two best: (grp, id, r_id, d1, d2)."""
+    two = two.select(grp, "id", "r_id", "d1", "d2", F.when(F.col("d2") > 0, F.col("d1") / F.col("d2")).otherwise(1.0).alias("_q"))
     steps = int(round((most - start) / by))
     # the first step at which a point matches; only the counts by step are gathered
     need = two.withColumn("_step", F.greatest(F.ceil((F.col("_q") - start) / by - 1e-9), F.lit(0)).cast("int")).where(F.col("_step") <= steps)
@@ -114,3 +122,20 @@ def loosened_radius(candidates: DataFrame, grp: str, radius: float, ratio: float
     counts = two.groupBy(grp, "_k").agg(F.count(F.lit(1)).alias("_c"))
     reached = counts.groupBy(grp).agg(F.coalesce(F.min(F.when(F.col("_c") >= enough, F.col("_k"))), F.lit(retries)).alias("_at"))
     return two.join(reached, grp).where(F.col("_k") == F.col("_at")).select(grp, "id", "r_id", F.col("dist").alias("d1"), "d2", (radius * (1 + growth * F.col("_k"))).alias("radius"))
+
+
+def loosened_radius_of(two: Callable[[DataFrame, float], DataFrame], left: DataFrame, grp: str, radius: float, ratio: float, enough: int = 3, growth: float = 0.25, retries: int = 8) -> DataFrame:
+    """loosened_radius where `two` gives (grp, id, r_id, d1, d2) of left points and a radius: a group whose matches are enough is not looked at with a larger one."""
+    done = None
+    for k in range(retries + 1):
+        far = radius * (1 + growth * k)
+        got = cut(two(left, far).where(F.col("d1") <= ratio * F.col("d2")))
+        full = got.groupBy(grp).agg(F.count(F.lit(1)).alias("_c")).where(F.col("_c") >= enough).select(grp)
+        rest = left.join(full, grp, "left_anti")
+        last = k == retries or rest.isEmpty()
+        own = (got if last else got.join(full, grp, "left_semi")).withColumn("radius", F.lit(float(far)))
+        done = own if done is None else done.unionByName(own)
+        if last:
+            return done
+        left = cut(rest)
+    raise ValueError("retries must be 0 or more")
