@@ -194,3 +194,30 @@ def test_image_list_and_world_files(spark, tmp_path):
     world.mkdir()
     (world / "s.TFW").write_text("1\n0\n0\n-1\n10\n20\n")
     assert [(r.line1, r.line4, r.line6) for r in files.read_world_files(spark, str(world)).collect()] == [(1.0, -1.0, 20.0)]
+
+
+def test_repeated_names_are_compared_once(spark):
+    left = spark.createDataFrame([(1, "abcd"), (1, "abcd"), (2, "abcd")], "b int, n string")
+    right = spark.createDataFrame([(1, f"abc{c}", 10 * i + j) for i, c in enumerate("dxyzabefg") for j in range(4)] + [(1, "abcd", 900)], "b int, m string, id long")
+    score = F.when(F.col("m") == "abcd", 100.0).otherwise(75.0)
+    from terrasheet.operators import relational as J
+
+    got = [(r.b, r.n, r.id, r.score, r.place) for r in J.best_matches(left, right, "b", "n", "m", score, "id", 7).orderBy("place").collect()]
+    assert got == [(1, "abcd", i, s, k + 1) for k, (i, s) in enumerate([*((i, 100.0) for i in (0, 1, 2, 3, 900)), (10, 75.0), (11, 75.0)])]
+    best = J.best_match(left, right, "b", "n", "m", score, "id")
+    assert [(r.b, r.n, r.id, r.m, r.score) for r in best.collect()] == [(1, "abcd", 0, "abcd", 100.0)]
+    # the score is worked out once for each pair of names
+    plan = best._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [b#" in plan[plan.index("Join") :]
+
+
+def test_rotation_search_sorts_nothing(spark):
+    from terrasheet.plans.details import least_turned_area
+
+    b = spark.createDataFrame([(1, 4.0, 2.0), (1, 3.0, 3.0), (2, 0.0, 0.0), (3, None, 1.0), (4, 2.0, 1.0)], "image int, w double, h double")
+    found = least_turned_area(b, "image", [-2.0, -1.0, 1.0, 2.0])
+    turned = lambda w, h, t: round((w * math.cos(t) + h * math.sin(t)) * (w * math.sin(t) + h * math.cos(t)), 6)
+    t = math.radians(1)
+    assert {r.image: (r.area, r.angle) for r in found.collect()} == {1: (min(turned(4, 2, t), turned(3, 3, t)), -1.0), 2: (0.0, -1.0), 3: (None, -1.0), 4: (turned(2, 1, t), -1.0)}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan and "Generate" not in plan
