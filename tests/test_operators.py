@@ -159,3 +159,15 @@ def test_dates_and_pages(spark):
     assert got == [(0, True), (5, False), (6, True), (7, True), (9, False), (10, True)]
     n = spark.createDataFrame([("k", i) for i in range(3)], "k string, i int")
     assert sorted(r.u for r in relational.numbered_names(n, "k", ["i"], "u").collect()) == ["k", "k_1", "k_2"]
+
+
+@pytest.mark.parametrize("few", [1 << 16, 0])
+def test_ransac_of_groups(spark, monkeypatch, few):
+    """Two groups under their own transforms and one that can't have any; rows are neither multiplied by the hypotheses nor sorted."""
+    monkeypatch.setattr(iterative, "SHARED", few)
+    at = lambda i: (float(i * 7 % 50), float(i * 13 % 40))
+    rows = [(i, g, k, *at(i), a * at(i)[0] + 10, a * at(i)[1] + 10) if i % 3 else (i, g, k, *at(i), 900.0 + i * i, -5.0 * i) for i in range(60) for g, k, a in (("g", 1, 1.0), ("h", 2, 2.0))] + [(i, "o", 3, 1.0, 1.0, 2.0, 2.0) for i in range(3)]
+    m = spark.createDataFrame(rows, "id long, grp string, k int, x double, y double, tx double, ty double")
+    got = iterative.ransac_similarity(m, ["grp", "k"], 40, 1.0)
+    assert {(r.grp, r.k): (r.inliers, r.rows, round(r.a, 6), round(r.b, 6)) for r in got.collect()} == {("g", 1): (40, 60, 1.0, 0.0), ("h", 2): (40, 60, 2.0, 0.0)}
+    assert "Generate" not in got._jdf.queryExecution().toString()
